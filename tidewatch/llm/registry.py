@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import OP4_SQL, exact_dedup
+from .pii import pii_digest
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +20,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup}
 
 
 def llm_oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import OP4_SQL, exact_dedup
+from .packing import pack
 from .pii import pii_digest
 
 
@@ -19,8 +20,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup}
+    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing}
 
 
 def llm_oracle_sql() -> dict[str, str]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import OP4_SQL, exact_dedup
 from .packing import pack
 from .pii import pii_digest
+from .topk import OP8_SQL, top_k
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +26,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing}
+    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op8_top_k": op8_top_k}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_top_k": OP8_SQL}

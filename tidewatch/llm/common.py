@@ -49,10 +49,10 @@ def spill(df: DataFrame, name: str = "step") -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of ``df`` (file sizes for a plain scan)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
-def pieces_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 20) -> int:
+def pieces_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 24) -> int:
     """How many groups of about ``bytes_each`` the input makes."""
     return max(least, min(most, -(-input_bytes(df) // bytes_each)))
 

@@ -11,6 +11,7 @@ from .common import read_table
 from .exact_dedup import OP4_SQL, exact_dedup
 from .packing import pack
 from .pii import pii_digest
+from .substring_dedup import substring_digest
 from .topk import OP8_SQL, top_k
 
 
@@ -30,8 +31,12 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op8_top_k": op8_top_k}
+    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup}
 
 
 def llm_oracle_sql() -> dict[str, str]:

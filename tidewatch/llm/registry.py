@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import OP4_SQL, exact_dedup
 from .langid import language_digest
+from .near_dedup import near_digest
 from .packing import pack
 from .pii import pii_digest
 from .substring_dedup import substring_digest
@@ -20,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -41,7 +46,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup}
 
 
 def llm_oracle_sql() -> dict[str, str]:

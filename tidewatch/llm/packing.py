@@ -16,7 +16,10 @@ each.  An empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,59 +33,81 @@ from .common import spill, text_or_empty
 CAPACITY, END_ID = 4096, 1
 SHARD_PIECES = 40_000
 LOOSE_FILL = 0.98
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 
-class WordIds:
-    """Token ids by white-space word.
+def _byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower() == chr(c))
+#: The vocabulary's pre-tokeniser for lower-case words of the Latin blocks.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Words with anything else go to the tokeniser itself.
+_SIMPLE = re.compile(r"(?!.*<\|)(?!.*[\x00-\x20\x7F-\xA0\u00B2\u00B3\u00B9\u00BC-\u00BE\u0130])[\x21-\u024F]+", re.S)
+
+
+class WordIds(dict):
+    """Token ids by white-space word: word -> its number; ``encode`` gives a text's ids.
 
     The vocabulary's pre-tokeniser never spans white space, so a text's ids are its words'
-    ids in order, and each distinct word is encoded once a worker.
+    ids in order, and each distinct word (and each distinct piece of it) is encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.reset()
 
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _add(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(sizes.sum()), len(self.index)
-            if self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), total), np.uint32)])
-            if n + len(part) > len(self.start):
-                more = max(len(self.start), len(part))
-                self.start, self.length = (np.concatenate([x, np.empty(more, np.int64)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.length[n : n + len(part)] = sizes
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used += total
+    def reset(self) -> None:
+        self.clear()
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.flat, self.start, self.length = array("I"), array("q"), array("q")
+
+    def _ids(self, word: str) -> list[int]:
+        if not (word.isascii() and word.isalpha()):
+            if not _SIMPLE.fullmatch(word):
+                return self.tokenizer.encode(word, add_special_tokens=False).ids
+            out: list[int] = []
+            for piece in _PIECE.findall(word.lower()):
+                ids = self.pieces.get(piece)
+                if ids is None:
+                    text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                    ids = self.pieces[piece] = [t.id for t in self.merge(text)]
+                out += ids
+            return out
+        word = word.lower()
+        ids = self.pieces.get(word)
+        if ids is None:
+            ids = self.pieces[word] = [t.id for t in self.merge(word)]
+        return ids
+
+    def __missing__(self, word: bytes) -> int:
+        ids, n = self._ids(word.decode()), len(self)
+        self.start.append(len(self.flat))
+        self.length.append(len(ids))
+        self.flat.extend(ids)
+        self[word] = n
+        return n
 
     def encode(self, text: bytes) -> np.ndarray:
         words = text.split()  # on [\x20\x09-\x0D]
         if not words:
             return np.empty(0, np.uint32)
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        index = self.index
-        if missing := [w for w in dict.fromkeys(words) if w not in index]:
-            self._add(missing)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        size = self.length[at]
+        if len(self) > CACHE_WORDS:
+            self.reset()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        size = np.frombuffer(self.length, np.int64)[at]
         ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + size, size)]
+        return np.frombuffer(self.flat, np.uint32)[np.arange(ends[-1]) + np.repeat(np.frombuffer(self.start, np.int64)[at] - ends + size, size)]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -111,6 +136,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker_ids(path)
+        gc.disable()  # the cache has many small objects and no cycles
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -14,6 +14,7 @@ from .near_dedup import near_digest
 from .packing import pack
 from .pii import pii_digest
 from .substring_dedup import substring_digest
+from .suffix_dedup import suffix_digest
 from .topk import OP8_SQL, top_k
 
 
@@ -45,8 +46,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup, "op10_suffix_array": op10_suffix_array}
 
 
 def llm_oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from .langid import language_digest
 from .near_dedup import near_digest
 from .packing import pack
 from .pii import pii_digest
+from .segment_sampling import segmentations
 from .substring_dedup import substring_digest
 from .suffix_dedup import suffix_digest
 from .topk import OP8_SQL, top_k
@@ -26,6 +27,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -51,7 +56,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup, "op10_suffix_array": op10_suffix_array}
+    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op3_gumbel_segmentation": op3_gumbel_segmentation, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup, "op10_suffix_array": op10_suffix_array}
 
 
 def llm_oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import OP4_SQL, exact_dedup
 from .langid import language_digest
+from .language_model import score_documents
 from .near_dedup import near_digest
 from .packing import pack
 from .pii import pii_digest
@@ -43,6 +44,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -56,7 +61,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op3_gumbel_segmentation": op3_gumbel_segmentation, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup, "op10_suffix_array": op10_suffix_array}
+    return {"op1_pii": op1_pii, "op2_order_minhash": op2_order_minhash, "op3_gumbel_segmentation": op3_gumbel_segmentation, "op4_exact_dedup": op4_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_language_id": op6_language_id, "op7_language_model": op7_language_model, "op8_top_k": op8_top_k, "op9_substring_dedup": op9_substring_dedup, "op10_suffix_array": op10_suffix_array}
 
 
 def llm_oracle_sql() -> dict[str, str]:

@@ -165,12 +165,14 @@ def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     langs, matrix = train(labelled, text_col, lang_col)
     model = spark.sparkContext.broadcast((langs, matrix))  # BUCKETS x languages
     columns = docs.columns if keep is None else keep
-    source = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    # a kept text isn't sent to Python twice
+    at = columns.index(text_col) if text_col in columns and dict(docs.dtypes)[text_col] == "string" else len(columns)
+    source = docs.select(*columns, *([F.col(text_col).cast("string").alias("__text")] if at == len(columns) else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", lang_pred string, score double"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score_texts(batch.column(len(columns)).to_pylist(), *model.value)
+            names, scores = score_texts(batch.column(at).to_pylist(), *model.value)
             arrays = [*batch.columns[: len(columns)], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
 

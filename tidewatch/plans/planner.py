@@ -82,10 +82,10 @@ def prefilter(rules: list[Rule]) -> Column | None:
     return reduce(lambda a, b: a | b, {(r.filter_field, r.filter_eq): matches(r.filter_field, r.filter_eq) for r in rules}.values())
 
 
-def grouped(events: DataFrame, key: StreamKey, rules: list[Rule]) -> tuple[DataFrame, list[dict[str, str]]]:
-    """One row for each window and group, with the rules' parts."""
+def grouped(events: DataFrame, key: StreamKey, rules: list[Rule], time_col: str | None = None) -> tuple[DataFrame, list[dict[str, str]]]:
+    """One row for each window and group, with the rules' parts.  ``time_col``: a stream's event time."""
     columns, used = rule_parts(rules)
-    times = event_window(F.timestamp_seconds("ts"), key.size, key.slide)
+    times = event_window(F.col(time_col) if time_col else F.timestamp_seconds("ts"), key.size, key.slide)
     wide = events.groupBy(times.alias("window"), group_key(key.group_by).alias("group_key")).agg(F.count(F.lit(1)).alias("n_events"), *(c.alias(n) for n, c in columns.items()))
     bounds = [F.unix_seconds(F.col("window.start")).alias("window_start"), F.unix_seconds(F.col("window.end")).alias("window_end")]
     return wide.select("group_key", *bounds, "n_events", *columns), used

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
-from ..functions.fields import field_number, group_key, matches
+from ..functions.fields import Lookup, field_number, group_key, matches
 from ..functions.windows import MICROS, event_window
-from ..plans.planner import RESULT, StreamKey, plan_streams, unfolded
+from ..plans.planner import RESULT, StreamKey, plan_streams, prepared_for, unfolded
 from ..plans.rules import DEFAULT_WINDOW, Rule
 from .prefix import prefix_aggregate
 
@@ -32,20 +32,21 @@ def with_watermark(events: DataFrame, lateness: int, order: list[str]) -> DataFr
     return seen.withColumn("watermark", F.col("watermark") - F.lit(lateness // MICROS))
 
 
-def _with_window(events: DataFrame, key: StreamKey) -> DataFrame:
+def _with_window(events: DataFrame, key: StreamKey, at: Lookup) -> DataFrame:
     times = events.withColumn("window", event_window(F.timestamp_seconds("ts"), key.size, key.slide))
-    bounds = {"window_start": F.unix_seconds("window.start"), "window_end": F.unix_seconds("window.end"), "group_key": group_key(key.group_by)}
+    bounds = {"window_start": F.unix_seconds("window.start"), "window_end": F.unix_seconds("window.end"), "group_key": group_key(key.group_by, at)}
     return times.withColumns(bounds).drop("window")
 
 
-def _flat_parts(rules: list[Rule]) -> list[dict]:
+def _flat_parts(rules: list[Rule], at: Lookup) -> list[dict]:
     """Each rule's (passes, number) columns by name."""
-    return [{"passes": matches(r.filter_field, r.filter_eq), "number": field_number(r.agg_field) if r.agg_func != "count" else F.lit(None).cast("double")} for r in rules]
+    return [{"passes": matches(r.filter_field, r.filter_eq, at), "number": field_number(r.agg_field, at) if r.agg_func != "count" else F.lit(None).cast("double")} for r in rules]
 
 
 def _replay_stream(seen: DataFrame, key: StreamKey, rules: list[Rule], lateness: int, order: list[str]) -> DataFrame:
-    rows = _with_window(seen, key)
-    flat = _flat_parts(rules)
+    seen, at = prepared_for(seen, key, rules, ["ts", "watermark", *order])
+    rows = _with_window(seen, key, at)
+    flat = _flat_parts(rules, at)
     rows = rows.select(
         "group_key", "window_start", "window_end", "watermark", *order,
         *(c[part].alias(f"{part}{i}") for i, c in enumerate(flat) for part in ("passes", "number")),

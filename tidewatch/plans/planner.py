@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
-from ..functions.fields import field_number, group_key, matches, satisfied
+from ..functions.fields import Lookup, field_number, group_key, matches, prepared, satisfied
 from ..functions.windows import event_window
 from .rules import DEFAULT_WINDOW, Rule, RuleError
 
@@ -52,15 +52,21 @@ def plan_streams(rules: list[Rule] | tuple[Rule, ...], default: int = DEFAULT_WI
     return out
 
 
-def rule_parts(rules: list[Rule]) -> tuple[dict[str, Column], list[dict[str, str]]]:
+def prepared_for(events: DataFrame, key: StreamKey, rules: list[Rule], keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Events with the columns that the rules of a stream use."""
+    texts = {*key.group_by, *(r.filter_field for r in rules if r.filter_field)}
+    return prepared(events, texts, {r.agg_field for r in rules if r.agg_func != "count"}, keep)
+
+
+def rule_parts(rules: list[Rule], at: Lookup = None) -> tuple[dict[str, Column], list[dict[str, str]]]:
     """Distinct aggregates of all rules by column name, and each rule's columns by part."""
     columns: dict[str, Column] = {}
     names: dict[tuple, str] = {}
     used = []
     for rule in rules:
         mine = {}
-        passes = matches(rule.filter_field, rule.filter_eq)
-        number = field_number(rule.agg_field) if rule.agg_func != "count" else None
+        passes = matches(rule.filter_field, rule.filter_eq, at)
+        number = field_number(rule.agg_field, at) if rule.agg_func != "count" else None
         for part, column in agg.parts(rule.agg_func, passes, number).items():
             kind = rule.agg_func if part == "x" else part
             key = (kind, rule.filter_field, rule.filter_eq if rule.filter_field else "", rule.agg_field if part != "n" else "")
@@ -84,9 +90,10 @@ def prefilter(rules: list[Rule]) -> Column | None:
 
 def grouped(events: DataFrame, key: StreamKey, rules: list[Rule], time_col: str | None = None) -> tuple[DataFrame, list[dict[str, str]]]:
     """One row for each window and group, with the rules' parts.  ``time_col``: a stream's event time."""
-    columns, used = rule_parts(rules)
+    events, at = prepared_for(events, key, rules, [time_col or "ts"])
+    columns, used = rule_parts(rules, at)
     times = event_window(F.col(time_col) if time_col else F.timestamp_seconds("ts"), key.size, key.slide)
-    wide = events.groupBy(times.alias("window"), group_key(key.group_by).alias("group_key")).agg(F.count(F.lit(1)).alias("n_events"), *(c.alias(n) for n, c in columns.items()))
+    wide = events.groupBy(times.alias("window"), group_key(key.group_by, at).alias("group_key")).agg(F.count(F.lit(1)).alias("n_events"), *(c.alias(n) for n, c in columns.items()))
     bounds = [F.unix_seconds(F.col("window.start")).alias("window_start"), F.unix_seconds(F.col("window.end")).alias("window_end")]
     return wide.select("group_key", *bounds, "n_events", *columns), used
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 from ..functions import aggregates as agg
 from ..functions.fields import field_number, group_key, matches
 from ..functions.windows import MICROS, event_window
-from ..plans.planner import StreamKey
+from ..plans.planner import StreamKey, prepared_for
 from ..plans.rules import Rule
 
 #: 400 days.  Events before 1971 would need less.
@@ -130,10 +130,11 @@ def window_rows(events: DataFrame, key: StreamKey, rules: list[Rule], lateness:
     if "heartbeat" in events.columns:
         # named with the event time, or the test would be moved below the watermark and heartbeats wouldn't move it
         timed = timed.where(~F.coalesce("heartbeat", F.lit(False)) | F.col("event_time").isNull())
-    passes = F.array(*(matches(r.filter_field, r.filter_eq) for r in rules))
-    numbers = F.array(*(field_number(r.agg_field) if r.agg_func != "count" else F.lit(None).cast("double") for r in rules))
+    timed, at = prepared_for(timed, key, rules, ["event_time"])
+    passes = F.array(*(matches(r.filter_field, r.filter_eq, at) for r in rules))
+    numbers = F.array(*(field_number(r.agg_field, at) if r.agg_func != "count" else F.lit(None).cast("double") for r in rules))
     times = event_window(F.col("event_time"), key.size)
-    rows = timed.select(F.unix_seconds(times["start"]).alias("window_start"), group_key(key.group_by).alias("key"), passes.alias("passes"), numbers.alias("numbers"), "event_time")
+    rows = timed.select(F.unix_seconds(times["start"]).alias("window_start"), group_key(key.group_by, at).alias("key"), passes.alias("passes"), numbers.alias("numbers"), "event_time")
     processor = WindowProcessor(key.size // MICROS, lateness // MICROS, tuple(r.agg_func for r in rules))
     return rows.groupBy("window_start", "key").transformWithStateInPandas(processor, OUTPUT, "append", "eventTime")
 

@@ -99,9 +99,9 @@ def _positive(text: str, what: str) -> int:
     try:
         out = parse_duration(text)
     except ValueError as e:
-        raise RuleError(f"invalid {what} {text!r}: {e}") from e
+        raise RuleError(f"{what}: {e}") from e
     if out <= 0:
-        raise RuleError(f"{what} must be positive, got {text}")
+        raise RuleError(f"{what} is {text}; it has to be above 0")
     return out
 
 
@@ -109,43 +109,43 @@ def parse_rule(data: object) -> Rule:
     top = _section(data, "rule")
     name = _text(top.get("name"), "name")
     if not name:
-        raise RuleError("name is required")
+        raise RuleError("a rule needs a name")
     window, where, agg = (_section(top.get(k), k) for k in ("window", "filter", "aggregate"))
 
     kind = _text(window.get("type"), "window.type")
     if kind not in ("", "tumbling", "sliding"):
-        raise RuleError(f"unsupported window.type {kind!r} (tumbling|sliding)")
+        raise RuleError(f"window.type is {kind!r}; it can be tumbling or sliding")
     size_text, slide_text = _text(window.get("size"), "window.size"), _text(window.get("slide"), "window.slide")
     size = _positive(size_text, "window.size") if size_text else 0
     slide = 0
     if kind == "sliding":
         if not slide_text:
-            raise RuleError("window.slide is required for sliding windows")
+            raise RuleError("a sliding window needs window.slide")
         slide = _positive(slide_text, "window.slide")
         if size and size % slide:
-            raise RuleError(f"window.size ({size_text}) must be divisible by window.slide ({slide_text})")
+            raise RuleError(f"window.slide {slide_text} doesn't divide window.size {size_text}")
 
     groups = top.get("group_by")
     names = tuple(_text(g, "group_by") for g in groups) if isinstance(groups, list) else tuple(x for x in [_text(groups, "group_by")] if x)
 
     func, agg_field = _text(agg.get("func"), "aggregate.func"), _text(agg.get("field"), "aggregate.field")
     if func not in FUNCTIONS:
-        raise RuleError(f"unsupported aggregate.func {func!r} ({'|'.join(FUNCTIONS)})")
+        raise RuleError(f"aggregate.func is {func!r}; it can be {', '.join(FUNCTIONS)}")
     if func != "count" and not agg_field:
-        raise RuleError(f"aggregate.field is required for {func}")
+        raise RuleError(f"{func} needs aggregate.field")
 
     having = top.get("having") or {}
     if not isinstance(having, dict) or len(having) != 1:
-        raise RuleError(f"having must have exactly one operator ({'|'.join(SYMBOLS)})")
+        raise RuleError(f"having takes one of {', '.join(SYMBOLS)}")
     (op, limit), *_ = having.items()
     if op not in SYMBOLS:
-        raise RuleError(f"unsupported having operator {op!r}")
+        raise RuleError(f"having knows no {op!r}")
     if isinstance(limit, bool) or not isinstance(limit, (int, float)):
         raise RuleError(f"having.{op} must be a number")
 
     emit = _text(top.get("emit"), "emit")
     if emit not in ("", "console"):
-        raise RuleError(f"unsupported emit {emit!r} (only console)")
+        raise RuleError(f"emit is {emit!r}; it can be console")
     return Rule(name, func, agg_field, _text(where.get("field"), "filter.field"), _text(where.get("eq"), "filter.eq"), names, op, float(limit), size, slide, emit)
 
 
@@ -153,10 +153,10 @@ def parse_notify(data: object) -> NotifyConfig:
     top = _section(data, "notify")
     kind = _text(top.get("type"), "type")
     if kind not in ("console", "webhook"):
-        raise RuleError(f"unsupported notify type {kind!r} (console|webhook)")
+        raise RuleError(f"type is {kind!r}; it can be console or webhook")
     url = _text(top.get("url"), "url")
     if kind == "webhook" and not url:
-        raise RuleError("webhook notify requires url")
+        raise RuleError("a webhook needs a url")
     headers = top.get("headers")
     if headers is not None and not isinstance(headers, dict):
         raise RuleError("headers must be a mapping")
@@ -167,11 +167,11 @@ def parse_config(text: str, name: str = "config") -> Config:
     try:
         data = yaml.safe_load(text)
     except yaml.YAMLError as e:
-        raise RuleError(f"parse config: {e}") from e
+        raise RuleError(f"not YAML: {e}") from e
     top = _section(data, "")
     entries = top.get("rules") or []
     if not isinstance(entries, list) or not entries:
-        raise RuleError(f"config {name} defines no rules")
+        raise RuleError(f"{name} holds no rules")
     rules = []
     for i, entry in enumerate(entries):
         try:

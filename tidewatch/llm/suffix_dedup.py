@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,6 +234,8 @@ def _ship(length: int, shards: int):
         if left.num_rows and right.num_rows:
             _, texts, _ = in_order(left)
             data, _ = joined(texts)
+            seen: dict[bytes, tuple[int, bool]] = {}
+            again: list[int] = []
             for r in right.to_pylist():
                 start, size = unpacked(r["starts"], r["n"], np.int64, True), unpacked(r["sizes"], r["n"], np.int32).astype(np.int64)
                 key, spread = unpacked(r["keys"], r["n"], np.uint64), unpacked(r["spread"], r["n"], np.int32).astype(np.int64)
@@ -242,14 +245,24 @@ def _ship(length: int, shards: int):
                     a, n = int(start[i]), int(size[i])
                     rows.append((int(shard[i]), r["chunk"], wanted, a, n, data[a : a + n + length - 1].tobytes()))
                 for i in np.flatnonzero(spread > 1).tolist():
-                    # each string of a very common key goes where its first bytes say, in runs of neighbours
+                    # each string of a very common key goes where its first bytes say, once from a chunk
                     a, n = int(start[i]), int(size[i])
                     own = data[a : a + n + length - 1]
-                    head = _gram_hashes(own)[:n]
-                    where = (shard[i] + (head % np.uint64(spread[i])).astype(np.int64)) % shards
+                    whole, strange = own.tobytes(), np.ones(n, bool)
+                    for j in range(n):
+                        before = seen.setdefault(whole[j : j + length], (a + j, wanted))
+                        if before[0] != a + j:
+                            strange[j] = False
+                            again += [a + j] * wanted + [before[0]] * before[1]
+                    head = (_gram_hashes(own)[:n] % np.uint64(spread[i])).astype(np.int64)
+                    where = np.where(strange, (shard[i] + head) % shards, -1)
                     first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
                     for f, e in zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True):
-                        rows.append((int(where[f]), r["chunk"], wanted, a + f, e - f, own[f : e + length - 1].tobytes()))
+                        if where[f] >= 0:
+                            rows.append((int(where[f]), r["chunk"], wanted, a + f, e - f, own[f : e + length - 1].tobytes()))
+            if again:  # these repeat within the chunk: the answer goes through a shard
+                at = np.unique(np.array(again, np.int64))
+                rows.append((int(at[0]) % shards, right.column("chunk")[0].as_py(), None, 0, len(at), packed(at, True)))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _schema(SHIPPED), strict=True)], schema=_schema(SHIPPED))
 
@@ -281,14 +294,18 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
 
 def _resolve(length: int):
     def resolve(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("chunk", "ascending"), ("start", "ascending")])
+        known = [r for r in table.filter(pc.is_null(table.column("wanted"))).to_pylist()]
+        rows = [_answer(r["chunk"], REPEATED, unpacked(r["data"], r["size"], np.int64, True), np.ones(r["size"], np.int64)) for r in known]
+        table = table.filter(pc.is_valid(table.column("wanted"))).sort_by([("chunk", "ascending"), ("start", "ascending")])
+        if not table.num_rows:
+            return pa.Table.from_pylist(rows, schema=_schema(FOUND))
         flags = repeated_starts(table.column("data").to_pylist(), length)
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for chunk, wanted, start, flag in zip(*(table.column(c).to_pylist() for c in ("chunk", "wanted", "start")), flags, strict=True):
             if wanted and flag.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
                 found.setdefault(chunk, []).append((edge[::2] + start, edge[1::2] - edge[::2]))
-        rows = [_answer(c, REPEATED, *(np.concatenate(x) for x in zip(*x, strict=True))) for c, x in found.items()]
+        rows += [_answer(c, REPEATED, *(np.concatenate(x) for x in zip(*x, strict=True))) for c, x in found.items()]
         return pa.Table.from_pylist(rows, schema=_schema(FOUND))
 
     return resolve

@@ -15,7 +15,8 @@ different stretch (key and content hash) to the key's bucket, which sees all its
 suffix array by induced sorting, and the permuted common prefixes; a string repeats if it
 shares ``length`` bytes with the suffix before or after it in the order.  So equal contents are compared once, and no
 passage is too frequent for one task: a key's stretches differ, and a key with more than
-``FEW`` different ones is divided further by what its strings begin with.
+``FEW`` different ones is divided by what its strings begin with, into parts for which the
+bytes sent, up to ``length`` for each string, make at most a shard.
 
 Null texts count as empty.  Matches never cross documents.  Rows that repeat an id count as
 different documents.  An empty table gives an empty result.  Other columns are ignored.
@@ -188,7 +189,7 @@ def _send(length: int, buckets: int):
     return send
 
 
-def _sift(few: int):
+def _sift(length: int, few: int):
     def sift(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
         out = [_answer(r["chunk"], REPEATED, unpacked(r["starts"], r["n"], np.int64), unpacked(r["sizes"], r["n"], np.int32)) for r in sent if r["keys"] is None and r["n"]]
@@ -212,8 +213,9 @@ def _sift(few: int):
             repeated = (np.bincount(of_content) + np.bincount(of_content, weights=twice) > 1)[of_content]
             ship = new & ((contents > 1) | (loops & ~repeated))
             state = np.where(ship, np.where(repeated, SHIP_AND_REPEATED, SHIP), np.where(repeated, REPEATED, -1))
-            # keys with many different stretches are divided among several shards
-            spread = -(-contents // few)
+            # keys with many different stretches are divided among several shards, by the bytes that single strings take
+            strings = np.bincount(of_key[new], weights=size[new])[of_key].astype(np.int64)
+            spread = np.where(contents > few, np.maximum(-(-contents // few), -(-strings * length // SHARD_BYTES)), 1)
             for c in np.unique(chunk).tolist():
                 for s in (REPEATED, SHIP, SHIP_AND_REPEATED):
                     at = np.flatnonzero((chunk == c) & (state == s))
@@ -344,7 +346,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = pieces_for(docs, BUCKET_BYTES, least=64)
     shards = pieces_for(docs, SHARD_BYTES, least=64)
     sent = rows.groupBy("chunk").applyInArrow(_send(length, buckets), SENT)
-    answers = sent.groupBy("bucket").applyInArrow(_sift(few), ANSWER)
+    answers = sent.groupBy("bucket").applyInArrow(_sift(length, few), ANSWER)
     wanted = answers.where(F.col("state") != REPEATED)
     shipped = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_ship(length, shards), SHIPPED)
     found = shipped.groupBy("shard").applyInArrow(_resolve(length), FOUND)

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidewatch.llm import near_dedup
 from tidewatch.llm.components import connected
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.near_dedup import edit_distance, near_digest, near_duplicates, order_min_hash, similarity
@@ -136,6 +137,20 @@ def test_near_duplicates(docs, texts):
     assert links.where("similarity < 0.8 or a >= b").count() == 0
 
 
+def test_every_two_classes_of_a_bucket_meet(spark, monkeypatch):
+    """In a bucket led by an unlike text, all others are compared with each other, in blocks too."""
+    rows = [(0, "a b c d e f g h i j k l")] + [(i, " ".join(f"t{i // 4}x{k}" for k in range(11)) + f" u{i}") for i in range(1, 24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def one_bucket(docs, id_col="doc_id", text_col="text", sketches=1):
+        return docs.selectExpr("doc_id", "md5(text) same", "array(1L) keys").selectExpr("doc_id", "cast(same as binary) same", "keys")
+
+    monkeypatch.setattr(near_dedup, "sketched", one_bucket)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5, raising=False)
+    classes, _ = near_duplicates(frame)
+    assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {0: 0} | {i: max(1, i // 4 * 4) for i in range(1, 24)}
+
+
 def test_empty_tables(no_docs):
     assert exact_dedup(no_docs, digest_all=True).count() == 0
     assert near_digest(no_docs).count() == 0

@@ -7,9 +7,11 @@ one of ``SKETCHES`` sketches are candidates.  Candidates are verified by a bande
 their words: similarity = 1 - edit distance / words of the longer text, at least 0.8.
 
 Classes are the connected components of verified links.  Texts with the same words are one
-entry throughout, so copies make no pairs.  In a sketch's bucket members are compared with the
-bucket's first member, and then, in further rounds, members of different classes are compared
-with each other by a new choice of members; no round makes more pairs than there are members.
+entry throughout, so copies make no pairs.  In a sketch's bucket members are first compared with the
+bucket's first member.  Then all pairs of members in different classes are looked at, in blocks of at most
+``BLOCK`` members: a pair goes on if its lengths and its counts of words by hash allow the similarity
+(neither ever drops a similar pair).  One pair for each two classes is aligned, and, as that joins many
+classes, afterwards every pair whose members are still in different classes.
 
 Null texts count as empty.  Texts without words form one class.  A text of fewer than five
 words is one item, so it meets only texts with the same words.  Rows that repeat an id belong to
@@ -32,7 +34,10 @@ from .components import connected
 from .textkit import mix, ranges, runs_hash, word_hashes
 
 SHINGLE, PICKS, SKETCHES, SIMILARITY = 5, 2, 36, 0.8
-ROUNDS = 3
+#: Bins of a text's counts of words by hash; members of a bucket compared at once; pairs held at once.
+BINS, BLOCK, PAIRS = 32, 512, 1 << 20
+#: Rows that a group of buckets has, about.
+SHARD_ROWS = 20_000
 PART_CHARS = 4 << 20
 #: Above this many edits the alignment goes on with bit vectors.
 NARROW = 48
@@ -195,7 +200,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sk
 
 
 def _word_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, words: 32-bit word hashes as bytes."""
+    """doc_id, words: 32-bit word hashes as bytes; n: their number; bag: their counts by hash, as bytes."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +209,62 @@ def _word_lists(docs: DataFrame) -> DataFrame:
                 values, n = word_hashes(texts[a:b])
                 short = (values >> np.uint64(32)).astype("<u4")
                 ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([short[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], names=["doc_id", "words"])
-
-    return docs.mapInArrow(hashed, "doc_id long, words binary")
+                bins = np.repeat(np.arange(b - a), n) * BINS + (short % np.uint32(BINS))
+                bags = np.minimum(np.bincount(bins, minlength=(b - a) * BINS), 65535).astype("<u2").reshape(b - a, BINS)
+                words = [short[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "words", "n", "bag"])
+
+    return docs.mapInArrow(hashed, "doc_id long, words binary, n long, bag binary")
+
+
+def _close_pairs(least: float):
+    def close(table: pa.Table) -> pa.Table:
+        """Pairs (a < b) of a shard's buckets, of different classes, whose lengths and counts of words allow ``least``."""
+        key, low, high, block, rep, label, n = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "rep", "label", "n"))
+        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        order = np.lexsort((rep, high, low, key))
+        key, low, high, block, rep, label, n, bag = (x[order] for x in (key, low, high, block, rep, label, n, bag))
+        new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        after = np.repeat(first + size, size) - np.arange(len(key)) - 1
+        ends = np.cumsum(after)
+        found = []
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            a, b = np.repeat(np.arange(at, to), after[at:to]), ranges(np.arange(at + 1, to + 1), after[at:to])
+            longer = np.maximum(n[a], n[b])
+            limit = ((1 - least) * longer + 1e-9).astype(np.int64)
+            ok = (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])) & (longer - np.minimum(n[a], n[b]) <= limit)
+            a, b, limit = a[ok], b[ok], limit[ok]
+            for x in range(0, len(a), PAIRS // 8):
+                y = slice(x, x + PAIRS // 8)
+                more = bag[a[y]] - bag[b[y]]
+                # an edit changes each of both sums by one at most
+                ok = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= limit[y]
+                found.append(np.stack([rep[a[y]][ok], rep[b[y]][ok], label[a[y]][ok], label[b[y]][ok]], 1))
+            at = to
+        pairs = np.unique(np.concatenate([np.empty((0, 4), np.int64), *found]), axis=0)
+        return pa.table([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "label_a", "label_b"])
+
+    return close
+
+
+def _between_classes(members: DataFrame, labels: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs that share a bucket, are of different classes and may be similar."""
+    named = spill(members.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "named")
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    mixed = spill(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"), "size"), "mixed")
+    rows = mixed.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    dealt = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # every two blocks of a bucket meet once: a member goes where its block is the lower or the higher one
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(64, rows // SHARD_ROWS))))
+    dealt = dealt.join(words.select(F.col("doc_id").alias("rep"), "n", "bag"), "rep").select("shard", "key", "low", "high", "block", "rep", "label", "n", "bag")
+    close = dealt.groupBy("shard").applyInArrow(_close_pairs(least), "a long, b long, label_a long, label_b long")
+    return spill(close.distinct(), "close")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -224,7 +282,7 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return with_words.mapInArrow(align, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id, copy_of) for every id, and the verified links (a, b, similarity).
 
     ``copy_of`` is the smallest id with the same words; links are between such ids.
@@ -240,28 +298,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     words = spill(_word_lists(source.join(involved, "doc_id")).dropDuplicates(["doc_id"]), "words")
 
-    tested = links = labels = None
-    for turn in range(rounds):
-        if labels is None:
-            head = members.groupBy("key").agg(F.min("rep").alias("a"))
-            pairs = members.join(spill(head, "heads"), "key").select("a", F.col("rep").alias("b"))
-        else:
-            # one member of each class in a bucket, chosen anew in every round, against one of the bucket's first class
-            named = members.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-            chosen = named.groupBy("key", "label").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
-            chosen = spill(chosen, "chosen")
-            head = chosen.groupBy("key").agg(F.min_by("rep", "label").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            pairs = chosen.join(spill(head, "heads"), "key").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
-        pairs = pairs.where("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = spill(_verified(pairs, words, least), "verified")
-        if turn and found.isEmpty():
-            break
-        tested = found if tested is None else tested.unionByName(found)
-        links = tested.where(F.col("similarity") >= least)
-        if labels is None or not found.where(F.col("similarity") >= least).isEmpty():  # else the classes stay
-            labels = connected(links, "a", "b").select(F.col("node").alias("rep"), "label")
+    def classes_of(tested: DataFrame) -> DataFrame:
+        return connected(tested.where(F.col("similarity") >= least), "a", "b").select(F.col("node").alias("rep"), "label")
+
+    head = spill(members.groupBy("key").agg(F.min("rep").alias("a")), "heads")
+    pairs = members.join(head, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    tested = spill(_verified(pairs, words, least), "verified")
+    labels = classes_of(tested)
+    close = _between_classes(members, labels, words, least)
+    untested = spill(close.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "untested")
+    # one pair for each two classes joins most that belong together; then all pairs that are still between classes
+    one = untested.groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    found = spill(_verified(one, words, least), "verified")
+    tested = tested.unionByName(found)
+    if not found.where(F.col("similarity") >= least).isEmpty():  # else the classes stay
+        labels = classes_of(tested)
+    left, right = (labels.select(F.col("rep").alias(x), F.col("label").alias(f"now_{x}")) for x in "ab")
+    rest = untested.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+    rest = rest.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
+    found = spill(_verified(rest, words, least), "verified")
+    tested = tested.unionByName(found)
+    if not found.where(F.col("similarity") >= least).isEmpty():
+        labels = classes_of(tested)
+    links = tested.where(F.col("similarity") >= least)
     classes = ids.join(entry.select("same", "rep"), "same", "left").join(labels, "rep", "left")
     return classes.select("doc_id", F.coalesce("label", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of")), links
 

@@ -1,6 +1,7 @@
 """Near-duplicate detection with Order MinHash.
 
-A document's items are its runs of five words, each labelled with its occurrence number.  A
+A document's items are its runs of three words, each labelled with its occurrence number; short
+texts have runs of two words or single words (``LEVELS``), and texts between two levels have the sketches of both.  A
 sketch takes the ``PICKS`` items with the smallest seeded hashes and keeps them in text order, so
 documents share it with a probability that falls with their edit distance.  Documents that share
 one of ``SKETCHES`` sketches are candidates.  Candidates are verified by a banded alignment of
@@ -13,8 +14,11 @@ bucket's first member.  Then all pairs of members in different classes are looke
 (neither ever drops a similar pair).  One pair for each two classes is aligned, and, as that joins many
 classes, afterwards every pair whose members are still in different classes.
 
-Null texts count as empty.  Texts without words form one class.  A text of fewer than five
-words is one item, so it meets only texts with the same words.  Rows that repeat an id belong to
+The least likely pairs, of similarity 0.8 with all edits substitutions at random places, share an
+item with a probability of s = 0.8^3, so their sets have J = s / (2 - s) = 0.34 in common and a sketch
+is shared with a probability of about J^2 = 0.12: ``SKETCHES`` sketches miss 1 pair in 8,000 (substitutions spread evenly break more items: 1 in 50).
+
+Null texts count as empty.  Texts without words form one class.  Below five words 0.8 allows no edit.  Rows that repeat an id belong to
 one class by their first text in sorted order.  An empty table gives an empty result.  Other columns are
 ignored.
 """
@@ -33,9 +37,11 @@ from .common import spill, text_or_empty
 from .components import connected
 from .textkit import mix, ranges, runs_hash, word_hashes
 
-SHINGLE, PICKS, SKETCHES, SIMILARITY = 5, 2, 36, 0.8
+SHINGLE, PICKS, SKETCHES, SIMILARITY = 3, 2, 72, 0.8
+#: (words of an item, least and most words of a text).  Ranges overlap so that two texts of similarity 0.8 have a level in common.
+LEVELS = ((1, 0, 12), (2, 10, 48), (SHINGLE, 38, 1 << 62))
 #: Bins of a text's counts of words by hash; members of a bucket compared at once; pairs held at once.
-BINS, BLOCK, PAIRS = 32, 512, 1 << 20
+BINS, BLOCK, PAIRS = 32, 4096, 1 << 20
 #: Rows that a group of buckets has, about.
 SHARD_ROWS = 20_000
 PART_CHARS = 4 << 20
@@ -74,16 +80,18 @@ def order_min_hash(texts: list[bytes], sketches: int = SKETCHES, picks: int = PI
     del keyed, order, same
     items = mix(items)
     largest = np.uint64(2**64 - 1)
+    # a value's low bits are its place in the text, so the least value tells where it is
+    low = np.uint64((1 << int(size.max()).bit_length()) - 1)
+    place = (np.arange(len(items)) - np.repeat(starts, size)).astype(np.uint64)
+    value = np.empty_like(items)
     for j in range(sketches):
-        value = (items ^ seeds[2 * j]) * (seeds[2 * j + 1] | np.uint64(1))
-        value ^= value >> np.uint64(29)
+        np.bitwise_xor(items, seeds[2 * j], out=value)
+        value *= seeds[2 * j + 1] | np.uint64(1)
+        value &= ~low
+        value |= place
         taken = []
         for _ in range(picks):
-            least = np.minimum.reduceat(value, starts)
-            hit = np.flatnonzero(value == np.repeat(least, size))
-            new = np.ones(len(hit), bool)
-            new[1:] = owner[hit[1:]] != owner[hit[:-1]]
-            hit = hit[new]
+            hit = starts + (np.minimum.reduceat(value, starts) & low).astype(np.int64)
             taken.append(hit)
             value[hit] = largest
         places = np.sort(np.stack(taken), axis=0)  # text order
@@ -94,6 +102,21 @@ def order_min_hash(texts: list[bytes], sketches: int = SKETCHES, picks: int = PI
     return out
 
 
+def sketch_keys(texts: list[bytes], sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of all texts at their levels, and how many each text has."""
+    n = np.array([len(t.split()) for t in texts], np.int64)
+    owner, keys = [], []
+    for width, least, most in LEVELS:
+        mine = np.flatnonzero((n >= least) & (n <= most))
+        if len(mine):
+            keys.append(order_min_hash([texts[i] for i in mine], sketches, PICKS, width).ravel())
+            owner.append(np.repeat(mine, sketches))
+    if not keys:
+        return np.empty(0, np.uint64), n
+    at = np.concatenate(owner)
+    return np.concatenate(keys)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(texts))
+
+
 def edit_distance(a: list[int], b: list[int], limit: int) -> int:
     """Edits between two word lists, or ``limit + 1`` if there are more.
 
@@ -183,7 +206,7 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES) -> DataFrame:
-    """doc_id, same (digest of the words), keys (a long for each sketch)."""
+    """doc_id, same (digest of the words), keys (a long for each sketch of its levels)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +214,9 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sk
             for a, b in _parts(texts):
                 mine = texts[a:b]
                 same = [hashlib.md5(b" ".join(t.split())).digest() for t in mine]
-                keys = order_min_hash(mine, sketches).view(np.int64)
-                offsets = pa.array(np.arange(0, keys.size + 1, sketches, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["doc_id", "same", "keys"])
+                keys, n = sketch_keys(mine, sketches)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], names=["doc_id", "same", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return source.mapInArrow(sketch, "doc_id long, same binary, keys array<long>")

@@ -60,6 +60,14 @@ def test_pii_redaction(docs):
     assert got[1] is None and got[7] == "été à la plage 😀"
 
 
+def test_whole_credentials_are_redacted(spark):
+    long = "a1B2" * 250
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+    rows = [(1, f"token = {long} end"), (2, f"secret: {jwt}. Next"), (3, f"api_key={long[:40]}+/~9==, and"), (4, "token: " + "a1b2c3d4e5f6g7h8." * 20000 + "x1")]
+    got = {r["doc_id"]: r["text"] for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "<SECRET> end", 2: "<SECRET>. Next", 3: "<SECRET>, and", 4: "<SECRET>"}
+
+
 def test_expectation_maximisation():
     patterns = [("card", (1, -1, -1, 1), 900), ("card", (1, -1, -1, 0), 100), ("id", (1, 1, 1, -1), 50), ("id", (0, -1, 0, 0), 50)]
     posterior, _, _ = expectation_maximisation(patterns)

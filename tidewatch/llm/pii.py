@@ -55,7 +55,7 @@ LOOSE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[\x20-]?)(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{12,256}",
+    "secret": r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=(?:\.*+[A-Za-z0-9_/+=~-]){12})[A-Za-z0-9_/+=~-]++(?:\.++[A-Za-z0-9_/+=~-]++)*+",
 }
 LOOSE_NEEDS = {
     "email": lambda t: t.rlike(r"(?:[(\[{]|\s)dot(?:[)\]}]|\s)"),

@@ -82,6 +82,15 @@ def test_tokens_equal_the_tokenizers(docs, texts):
         assert known.encode(text.encode()).tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_every_letter_equal_the_tokenizers(spark):
+    letters = [chr(c) for c in range(0x21, 0x250) if chr(c).isalpha()]
+    cased = [x for c in letters for x in dict.fromkeys((c, c.upper(), c.lower()))]
+    rows = [(0, "Əli Ɓauna ƐƆna ŊƐ Ɩ"), (1, " ".join(f"{c}li a{c}b x{c} {c}{c}9" for c in cased)), (2, " ".join("".join(cased[i : i + 7]) for i in range(0, len(cased), 7)))]
+    known = WordIds(tokenizer_path())
+    got = {r["doc_id"]: r["ids"] for r in tokenised(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1 << 20, with_ids=True).collect()}
+    assert got == {i: [*known.tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+
+
 def test_packing(docs, texts):
     got = pack(docs, capacity=64, shard_pieces=50).collect()
     at = defaultdict(list)

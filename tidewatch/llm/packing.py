@@ -47,8 +47,10 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower() == chr(c))
 #: The vocabulary's pre-tokeniser for lower-case words of the Latin blocks.
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Letters whose lower case lies beyond those blocks, so that the pre-tokeniser above wouldn't know it.
+_BEYOND = "".join(chr(c) for c in range(0x250) if any(ord(x) >= 0x250 for x in chr(c).lower()))
 #: Words with anything else go to the tokeniser itself.
-_SIMPLE = re.compile(r"(?!.*<\|)(?!.*[\x00-\x20\x7F-\xA0\u00B2\u00B3\u00B9\u00BC-\u00BE\u0130])[\x21-\u024F]+", re.S)
+_SIMPLE = re.compile(rf"(?!.*<\|)(?!.*[\x00-\x20\x7F-\xA0\u00B2\u00B3\u00B9\u00BC-\u00BE\u0130{_BEYOND}])[\x21-\u024F]+", re.S)
 
 
 class WordIds(dict):

@@ -212,6 +212,36 @@ def test_segmentations_round_trip(docs, texts):
     assert {r["doc_id"] for r in got} == set(known)
 
 
+@pytest.mark.parametrize("text", ["a  b", "a   b ", "  if", " \n   x", "    "])
+def test_segmentations_are_all_of_the_vocabularys(text):
+    """The lattice's segmentations and their probabilities, against all that the vocabulary has."""
+    pieces = seg.worker_pieces()
+    log = {pieces.text[i]: float(w) for i, w in zip(pieces.slot_id.tolist(), pieces.slot_log.tolist(), strict=True) if i >= 0}
+    number = {t: i for i, t in pieces.text.items()}
+    marked = text.replace(" ", seg.SPACE)
+
+    def ways(at):
+        if at == len(marked):
+            return [((), 0.0)]
+        out = []
+        for end in range(at + 1, len(marked) + 1):
+            piece = marked[at:end]
+            if piece in log:
+                first = (number[piece], log[piece])
+            elif end == at + 1:
+                first = (pieces.byte_id[ord(text[at])], pieces.byte_log)
+            else:
+                continue
+            out += [((first[0], *ids), first[1] + w) for ids, w in ways(end)]
+        return out
+
+    want = dict(ways(0))
+    total = math.log(sum(map(math.exp, want.values())))
+    found = seg.sample_segmentations([text], np.arange(1), pieces, 200)
+    assert {tuple(f[5].tolist()) for f in found} == set(want)
+    assert all(abs(f[2] - (want[tuple(f[5].tolist())] - total)) < 1e-4 for f in found)
+
+
 @pytest.mark.parametrize("text", ["the re"])
 def test_segmentations_follow_their_distribution(text):
     pieces = seg.worker_pieces()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import segment_sampling as seg
 from tidewatch.llm.langid import language_digest, score_texts
-from tidewatch.llm.language_model import Model, score_documents
+from tidewatch.llm.language_model import VOCABULARY, Model, _dealt, learn, score_documents
 from tidewatch.llm.packing import WordIds, best_two_fit, pack, tokenised, tokenizer_path
 from tidewatch.llm.pii import expectation_maximisation, fit_classifier, pii_digest, redact
 from tidewatch.llm.topk import threshold_top_k, top_k
@@ -175,6 +175,37 @@ def test_model_probabilities_and_gradient():
     assert lp > first / 4
 
 
+def test_the_model_learns_from_every_token(monkeypatch):
+    """Each token of each document is a target once, after the token and the state before it."""
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(1, 12, n), 0) for n in [5000, 0, 1, 15, 16, 17, 300, *rng.integers(0, 60, 200)]]
+    seen: Counter = Counter()
+    was = Model.train
+
+    def train(self, inputs, targets, valid, h, memory, rate, fresh):
+        assert valid.any()
+        # the state says how many tokens of its document came before
+        out = h.copy()
+        for t in range(inputs.shape[1]):
+            out[fresh[:, t]] = 0
+            seen.update((int(n), int(x), int(y)) for n, x, y, ok in zip(out[:, 0], inputs[:, t], targets[:, t], valid[:, t], strict=True) if ok)
+            out[valid[:, t]] += 1
+        return out
+
+    monkeypatch.setattr(Model, "train", train)
+    model = Model(np.log(np.full(3, 1 / 3)), np.log(np.full((3, 4), 0.25)))
+    assert learn(model, iter(docs), 0, 0.02) == sum(map(len, docs))
+    assert seen == Counter((k, int(d[k - 1]) if k else 0, int(d[k])) for d in docs for k in range(len(d)))
+    monkeypatch.setattr(Model, "train", was)
+    assert learn(model, iter(docs), 0, 0.02) == sum(map(len, docs))
+
+
+def test_the_models_vocabulary_is_tens_of_thousands():
+    assert VOCABULARY >= 20000
+    places, log_class, log_word = _dealt([(i, 50000 - i) for i in range(1, VOCABULARY)], 7)
+    assert len(places) == VOCABULARY and 150 <= len(log_class) <= 220 and log_word.shape[1] <= 220
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(120, 6)).round(1)

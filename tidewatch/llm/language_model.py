@@ -5,14 +5,13 @@ its distinct words with their training counts to buckets by hash; a bucket sums
 answers each chunk with the totals of its words, so every document's base score follows from counts over all training documents.
 
 *Model.*  A gated recurrent unit in numpy reads the words one by one.  The vocabulary of the model is
-the ``VOCABULARY`` most frequent training words; others share one symbol, whose words are told
+the ``VOCABULARY`` most frequent training words that occur twice or more; others share one symbol, whose words are told
 apart by their counts.  The output softmax is factored: words are dealt into classes of similar total count,
 and log p(word) = log p(class) + log p(word | class).  Training is truncated backpropagation through time over windows
-of ``WINDOW`` tokens, with the state carried from window to window of a document.  In every
-round tasks train copies of the weights on their own training documents and the copies are averaged, weighed by
-their tokens; a document offers one run of ``RUN`` windows for each ``EVERY`` of its tokens, at places
-given by its id, so what is learnt from grows with the input.  Scoring carries the state over the
-whole document.
+of ``WINDOW`` tokens, with the state carried from a document's first token to its end.  In every
+round tasks train copies of the weights on all tokens of their own training documents, and the copies are averaged, weighed by
+their tokens.  Documents lie one after the other in the rows of a batch, which gets more rows as a task goes on.
+Scoring carries the state over the whole document.
 
 Null texts count as empty (one token, the end).  Repeated ids give a row each.  Without training
 documents all counts are 0 and the model keeps its first weights.  An empty table gives an empty result.  Other columns are
@@ -30,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_for, spill
-from .textkit import NULL_ID, chunked, in_order, mix, packed, unpacked, word_hashes
+from .textkit import NULL_ID, chunked, in_order, packed, unpacked, word_hashes
 
-VOCABULARY, CLASSES, EMBED, HIDDEN = 1024, 32, 16, 16
-WINDOW, RUN, EVERY, BATCH, ROUNDS, RATE = 16, 2, 2048, 128, 2, 0.02
+VOCABULARY, EMBED, HIDDEN = 32768, 16, 16
+WINDOW, SPAN, ROUNDS, RATE = 16, 16, 1, 0.02
+#: Rows of a batch: at least, at most, and tokens learnt for each row in between.
+FEWEST, BATCH, TOKENS_A_ROW = 64, 1024, 2048
 BUCKET_BYTES = 16 << 20
 END = 0x5EED5EED5EED5EED
 #: Bytes A-Z to a-z.
@@ -111,13 +112,19 @@ class Model:
                 out[mine] += second[np.arange(len(mine)), inside[mine]] - np.log(np.exp(second).sum(1))
         return out
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray, memory: dict, rate: float) -> np.ndarray:
-        """One window, (batch, steps): a step of gradient ascent scaled by running squares.  The state after it."""
+    def train(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray, memory: dict, rate: float, fresh: np.ndarray | None = None) -> np.ndarray:
+        """One window, (batch, steps): a step of gradient ascent scaled by running squares.  The state after it.
+
+        Where ``fresh`` is set a document starts, with a state of zero.
+        """
         w = self.w
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         projected = (w["embed"] @ w["in"] + w["gate"])[inputs]
         kept, states = [], []
+        going = None if fresh is None else np.float32(1) - fresh.astype(np.float32)
         for t in range(inputs.shape[1]):
+            if going is not None:
+                h = h * going[:, t, None]
             h = self.step(w, projected[:, t], h, kept)
             states.append(h)
         # the outputs of all steps together: they don't depend on each other
@@ -152,6 +159,8 @@ class Model:
             da = np.concatenate([dz, dr, dc * r], 1)
             grad["state"] += before.T @ da
             back = back * (1 - z) + da @ w["state"].T
+            if going is not None:
+                back = back * going[:, t, None]
         symbols, dx = inputs.ravel(), all_dx.reshape(-1, 3 * HIDDEN)
         grad["gate"] = dx.sum(0)
         grad["in"] = w["embed"][symbols].T @ dx
@@ -166,10 +175,10 @@ class Model:
         return h
 
 
-def _dealt(vocabulary: list[tuple[int, int]], rare: int) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+def _dealt(vocabulary: list[tuple[int, int]], rare: float) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     """Each word's place (class * size + number) and the start biases.  Place 0 is the shared symbol."""
-    counts = np.array([rare + 1, *(n for _, n in vocabulary)], np.float64)
-    n_class = min(CLASSES, len(counts))
+    counts = np.array([rare, *(n for _, n in vocabulary)], np.float64)
+    n_class = max(1, round(len(counts) ** 0.5))
     order = np.argsort(-counts, kind="stable")
     size = -(-len(counts) // n_class)
     place = np.empty(len(counts), np.int64)
@@ -246,44 +255,68 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+class Rows:
+    """Rows of a batch, each with documents one after the other: the tokens that it is still to learn from."""
+
+    def __init__(self, documents: Iterator[np.ndarray], start: int):
+        self.documents, self.start = documents, start
+        self.inputs: list[np.ndarray] = []
+        self.targets: list[np.ndarray] = []
+        self.fresh: list[np.ndarray] = []
+        self.more = True
+
+    def fill(self, rows: int, tokens: int) -> None:
+        """Add rows up to ``rows`` and documents until each row has ``tokens`` tokens or no document is left."""
+        while self.more and len(self.inputs) < rows:
+            for held, kind in ((self.inputs, np.int64), (self.targets, np.int64), (self.fresh, bool)):
+                held.append(np.empty(0, kind))
+        for i in range(len(self.inputs)):
+            size, added = len(self.inputs[i]), []
+            while self.more and size < tokens:
+                symbols = next(self.documents, None)
+                if symbols is None:
+                    self.more = False
+                    break
+                added.append(symbols)
+                size += len(symbols)
+            if added:
+                first = np.zeros(sum(map(len, added)), bool)
+                first[np.cumsum([0, *map(len, added[:-1])])] = True
+                after = np.concatenate(added)
+                before = np.concatenate([[self.start], after[:-1]])
+                before[first] = self.start  # the token before a document's first is an end
+                self.inputs[i] = np.concatenate([self.inputs[i], before])
+                self.targets[i] = np.concatenate([self.targets[i], after])
+                self.fresh[i] = np.concatenate([self.fresh[i], first])
+
+    def take(self, tokens: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Up to ``tokens`` tokens of each row (inputs, targets, fresh, valid) and the rows' states; rows without any go."""
+        h = np.concatenate([h, np.zeros((len(self.inputs) - len(h), h.shape[1]), np.float32)])
+        left = [i for i, x in enumerate(self.inputs) if len(x)]
+        h = h[left]
+        self.inputs, self.targets, self.fresh = ([held[i] for i in left] for held in (self.inputs, self.targets, self.fresh))
+        shape = (len(left), tokens)
+        inputs, targets, fresh, valid = np.full(shape, self.start, np.int64), np.full(shape, self.start, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+        for i, x in enumerate(self.inputs):
+            n = min(tokens, len(x))
+            inputs[i, :n], targets[i, :n], fresh[i, :n], valid[i, :n] = x[:n], self.targets[i][:n], self.fresh[i][:n], True
+            self.inputs[i], self.targets[i], self.fresh[i] = x[n:], self.targets[i][n:], self.fresh[i][n:]
+        return inputs, targets, fresh, valid, h
+
+
 def _train_task(coder: Coder, size: int, weights: dict, rate: float):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(np.zeros(1), np.zeros((1, 1)))
         model.w, model.size = {k: v.copy() for k, v in weights.items()}, size
-        memory: dict = {}
-        runs: list[np.ndarray] = []
-        learnt = 0
-        length = WINDOW * RUN + 1
-
-        def learn() -> None:
-            data = np.full((len(runs), length), coder.rare, np.int64)
-            valid = np.zeros((len(runs), length), bool)
-            for i, r in enumerate(runs):
-                data[i, : len(r)], valid[i, : len(r)] = r, True
-            h = np.zeros((len(runs), HIDDEN), np.float32)
-            for k in range(RUN):
-                a = slice(k * WINDOW, (k + 1) * WINDOW)
-                b = slice(k * WINDOW + 1, (k + 1) * WINDOW + 1)
-                h = model.train(data[:, a], data[:, b], valid[:, b], h, memory, rate)
-            runs.clear()
-
-        for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            keep = ~held_out(ids, batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            for i in np.flatnonzero(keep).tolist():
-                text = batch.column(1)[i].as_buffer().to_pybytes()
-                symbols, _ = tokens([text])
-                # the token before the first is an end
-                symbols = coder(np.concatenate([[np.uint64(END)], symbols]))
-                n_runs = -(-len(symbols) // EVERY)
-                seed = mix(np.arange(1, n_runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + 1].view(np.uint64))
-                for s in (seed % np.uint64(max(1, len(symbols) - length + 1))).astype(int).tolist():
-                    runs.append(symbols[s : s + length])
-                    learnt += min(length, len(symbols) - s)
-                    if len(runs) == BATCH:
-                        learn()
-        if runs:
-            learn()
+
+        def documents() -> Iterator[np.ndarray]:
+            for batch in batches:
+                ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+                keep = ~held_out(ids, batch.column(0).is_null().to_numpy(zero_copy_only=False))
+                for i in np.flatnonzero(keep).tolist():
+                    yield coder(tokens([batch.column(1)[i].as_buffer().to_pybytes()])[0])
+
+        learnt = learn(model, documents(), int(coder(np.array([END], np.uint64))[0]), rate)
         if learnt:
             names = sorted(model.w)
             yield pa.RecordBatch.from_pydict({"tokens": [learnt], "weights": [np.concatenate([model.w[k].ravel() for k in names]).astype("<f4").tobytes()]})
@@ -291,6 +324,26 @@ def _train_task(coder: Coder, size: int, weights: dict, rate: float):
     return train
 
 
+def learn(model: Model, documents: Iterator[np.ndarray], start: int, rate: float) -> int:
+    """Train on every token of ``documents`` (symbols, an end last).  How many there were."""
+    rows, memory, learnt, most = Rows(documents, start), {}, 0, 0
+    h = np.zeros((0, HIDDEN), np.float32)
+    while True:
+        rows.fill(min(BATCH, max(FEWEST, learnt // TOKENS_A_ROW)), SPAN * WINDOW)
+        inputs, targets, fresh, valid, h = rows.take(SPAN * WINDOW, h)
+        if not len(h):
+            return learnt
+        most = max(most, len(h))
+        for k in range(0, SPAN * WINDOW, WINDOW):
+            at = slice(k, k + WINDOW)
+            n = int(valid[:, at].sum())
+            if not n:
+                break
+            # windows with few tokens are noisy, so their steps are shorter
+            h = model.train(inputs[:, at], targets[:, at], valid[:, at], h, memory, rate * min(1.0, n / (most * WINDOW)) ** 0.5, fresh[:, at])
+            learnt += n
+
+
 def _average(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = None, 0
     for batch in parts:
@@ -353,14 +406,14 @@ def score_chunk(model: Model, coder: Coder, hashes: np.ndarray, n: np.ndarray, r
         symbol = symbols[first[order[:m]] + t]
         held.append((h, symbol, m))
         pending += m
-        if pending >= 1 << 14:
+        if pending >= 1 << 15:
             settle()
     settle()
     out[order] += total
     return out / np.log(10)
 
 
-def _score(model: Model, coder: Coder, n_train: int, distinct: int, rare_total: int):
+def _score(model: Model, coder: Coder, n_train: int, distinct: int, rare_mass: float):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_pylist([], schema=_schema(SCORED))
@@ -374,7 +427,7 @@ def _score(model: Model, coder: Coder, n_train: int, distinct: int, rare_total:
         base = np.add.reduceat(np.log10((c + 0.5) / (n_train + 0.5 * (distinct + 1))), first)
         known = np.add.reduceat((c > 0).astype(np.int64), first)
         # words that share the model's symbol: by their counts among such words
-        rare_log = np.log((c + 0.5) / (rare_total + 0.5 * (distinct + 1)))
+        rare_log = np.log((c + 0.5) / rare_mass)
         out = score_chunk(model, coder, hashes, n, rare_log)
         columns = [[None if z else int(i) for i, z in zip(ids, nulls, strict=True)], held_out(ids, nulls), n, known, np.full(len(n), n_train), base, out]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _schema(SCORED), strict=True)], schema=_schema(SCORED))
@@ -392,11 +445,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     summary = spill(summary, "word-summary")
     sums = summary.where("is_sum").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
     n_train, distinct = sums["n"] or 0, sums["distinct"] or 0
-    top = summary.where("not is_sum").orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()  # VOCABULARY rows
+    top = summary.where("not is_sum and n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()  # at most VOCABULARY rows
     vocabulary = [(r["word"] % 2**64, r["n"]) for r in top]
     rare = n_train - sum(n for _, n in vocabulary)
-    places, log_class, log_word = _dealt(vocabulary, rare)
+    # the shared symbol's words, seen or not, smoothed as in the base score
+    rare_mass = rare + 0.5 * (distinct - len(vocabulary) + 1)
+    places, log_class, log_word = _dealt(vocabulary, rare_mass)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     model = train_model(source, places, log_class, log_word, rounds)
-    scored = _score(model, Coder(places), n_train, distinct, rare)
+    scored = _score(model, Coder(places), n_train, distinct, rare_mass)
     return rows.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(scored, SCORED)

@@ -273,6 +273,14 @@ def test_segmentations_are_all_of_the_vocabularys(text):
     assert all(abs(f[2] - (want[tuple(f[5].tolist())] - total)) < 1e-4 for f in found)
 
 
+def test_segmentations_say_whether_they_decode(docs, monkeypatch):
+    assert seg.NEGLIGIBLE >= 32
+    assert seg.segmentations(docs, with_ids=False).where("decodes").count() == seg.segmentations(docs).count()
+    pieces = seg.Pieces.__new__(seg.Pieces)
+    pieces.bytes_of = {1: b"a", 2: b" b", 3: b"\xc3", 4: b"\xa9"}
+    assert pieces.decode([1, 2, 3, 4]) == "a bé" and pieces.decode([3, 2]) != "é b"
+
+
 @pytest.mark.parametrize("text", ["the re"])
 def test_segmentations_follow_their_distribution(text):
     pieces = seg.worker_pieces()

@@ -16,7 +16,7 @@ classes, afterwards every pair whose members are still in different classes.
 
 The least likely pairs, of similarity 0.8 with all edits substitutions at random places, share an
 item with a probability of s = 0.8^3, so their sets have J = s / (2 - s) = 0.34 in common and a sketch
-is shared with a probability of about J^2 = 0.12: ``SKETCHES`` sketches miss 1 pair in 8,000 (substitutions spread evenly break more items: 1 in 50).
+is shared with a probability of about J^2 = 0.12: ``SKETCHES`` sketches miss about 1 pair in 8,000 by this estimate (substitutions spread evenly break more items: the tests allow 3 % there).
 
 Null texts count as empty.  Texts without words form one class.  Below five words 0.8 allows no edit.  Rows that repeat an id belong to
 one class by their first text in sorted order.  An empty table gives an empty result.  Other columns are

@@ -72,6 +72,21 @@ def test_decode(spark):
     assert (good.count(), poison.count()) == (3, 7)
 
 
+def test_decode_has_no_limit_of_depth(spark):
+    deep = "1"
+    for _ in range(60):
+        deep = '{"a":[' + deep + "]}"
+    cases = [
+        ('{"service":"a","fields":{"x":' + deep + "}}", True),
+        ('{"service":"a","fields":{"x":' + deep + "}} {}", False),
+        ('{"service":"a","fields":{"x":' + deep + "}", False),
+        ('{"service":"' + "\\\\\"{" * 20_000 + '"}', True),
+        (' {"service":"a"}\n', True),
+    ]
+    rows = spark.createDataFrame(list(enumerate(x for x, _ in cases)), "i int, body string")
+    assert {r["i"]: r["valid"] for r in decode(rows).collect()} == {i: ok for i, (_, ok) in enumerate(cases)}
+
+
 def test_log_ids(spark, tmp_path):
     folder = str(tmp_path / "log")
     assert append(folder, "s", ["a", "b"]) == 2

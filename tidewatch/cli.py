@@ -15,7 +15,7 @@ from .plans.rules import DEFAULT_THRESHOLD, NotifyConfig, Rule, built_in_rule, l
 from .sinks.notifiers import build_notifiers
 from .sources.http import HttpReceiver, landed_events
 from .sources.log import log_events
-from .streaming.dedupe import dedupe_stream
+from .streaming.dedupe import CountRepeated, dedupe_stream
 from .streaming.engine import Engine, with_heartbeat
 from .streaming.metrics import Metrics, serve
 
@@ -53,6 +53,8 @@ def main(argv: list[str] | None = None, stop: threading.Event | None = None) ->
     args = parser().parse_args(argv)
     rules, notify = rules_of(args.config, args.threshold)
     spark = SparkSession.builder.appName("tidewatch").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if not args.data and spark.sparkContext.master.partition("[")[0] != "local":
+        sys.exit("--data must name a folder that the driver and all executors share")
     data = args.data or tempfile.mkdtemp(prefix="tidewatch-")
     metrics = Metrics()
     if args.metrics_addr:
@@ -63,6 +65,7 @@ def main(argv: list[str] | None = None, stop: threading.Event | None = None) ->
         messages, _ = log_events(spark, f"{args.log}/{args.log_subject}")
         if args.data:
             # its own query: ids are remembered by wall time, windows by event time
+            spark.streams.addListener(CountRepeated(metrics))
             once = dedupe_stream(messages, args.dedupe_ttl)
             once.writeStream.format("json").option("path", f"{data}/messages").option("checkpointLocation", f"{data}/dedupe").start()
             messages = spark.readStream.schema(messages.schema).json(f"{data}/messages")

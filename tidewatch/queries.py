@@ -190,10 +190,12 @@ COERCE_SQL = _with("""SELECT event_id, CAST(form AS INTEGER) AS form, round(CAST
 
 
 def decode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages made from the events, some of them broken, decoded."""
+    """Messages made from the events, some of them deep and some broken, decoded."""
     events = read_events(spark, sf_dir)
     quote = F.lit('"')
     good = F.concat(F.lit('{"service":"'), "service", F.lit('","level":"'), "level", F.lit('","ts":'), F.col("ts").cast("string"), F.lit(',"fields":{"k":"'), F.col("fields")["k"], F.lit('"},"other":1}'))
+    deep = F.concat(F.lit('{"fields":{"a":{"b":{"c":{"d":[{"e":{}}]}}},"k":"'), F.col("fields")["k"], F.lit('"},'), F.substr(good, F.lit(2)))
+    deep = F.regexp_replace(deep, r',"fields":\{"k":"[^"]*"\},"other"', ',"other"')
     kind = F.col("event_id") % 8
     body = (
         F.when(kind == 1, F.concat(good, F.lit(" x")))
@@ -202,6 +204,7 @@ def decode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.lit('{"service":1,"ts":2}'))
         .when(kind == 5, F.concat(F.lit('{"service":'), quote, "service", quote, F.lit("}")))
         .when(kind == 6, F.concat(good, good))
+        .when(kind == 7, deep)
         .otherwise(good)
     )
     done = decode(events.select("event_id", body.alias("body")))

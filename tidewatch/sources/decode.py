@@ -16,9 +16,15 @@ def _kind(body: Column, key: str) -> Column:
 
 
 def _balanced(body: Column) -> Column:
-    """Whether nothing but white space follows the closing brace of the message's object."""
-    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', "")
-    return bare.rlike(r"^\s*\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}[^{}]*+)*+\}\s*$")
+    """Whether nothing but white space follows the closing brace of the message's object, however deep it is."""
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*+"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]++", ""), "")
+    depth = F.aggregate(
+        F.transform(braces, lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("ends")),
+        lambda a, x: F.struct((a["now"] + x).alias("now"), (a["ends"] + ((x != 0) & (a["now"] + x == 0)).cast("int")).alias("ends")),
+    )
+    return bare.rlike(r"^\s*+\{") & bare.rlike(r"\}\s*$") & (depth["now"] == 0) & (depth["ends"] == 1)
 
 
 def decode(messages: DataFrame, body: str = "body", whole: bool = True) -> DataFrame:

@@ -7,12 +7,37 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.duration import parse_duration
+from .metrics import Metrics
 
 DEFAULT_TTL = parse_duration("24h")
+#: What a query's progress says of its messages with an id: how many came, how many passed.
+NAMED, ONCE = "tidewatch_named", "tidewatch_once"
+
+
+class CountRepeated(StreamingQueryListener):
+    """Counts the messages that queries with :func:`dedupe_stream` skip: ``spark.streams.addListener(CountRepeated(metrics))``."""
+
+    def __init__(self, metrics: Metrics, source: str = "log"):
+        self.metrics, self.source = metrics, source
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics
+        if NAMED in seen and ONCE in seen:
+            self.metrics.add("tidewatch_deduped_total", seen[NAMED]["n"] - seen[ONCE]["n"])
+            self.metrics.add("tidewatch_events_total", seen[ONCE]["n"], self.source)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 class FirstOnly(StatefulProcessor):
@@ -46,5 +71,6 @@ def dedupe_stream(messages: DataFrame, ttl: int = DEFAULT_TTL, id_col: str = "ms
     """
     has_id = F.coalesce(F.col(id_col), F.lit("")) != ""
     named = messages.where(has_id)
+    named = named.observe(NAMED, F.count(F.lit(1)).alias("n"))
     once = named.withColumn("__id", F.col(id_col)).groupBy("__id").transformWithStateInPandas(FirstOnly(max(1, ttl // 1000), messages.columns), messages.schema, "append", "processingTime")
-    return once.unionByName(messages.where(~has_id))
+    return once.observe(ONCE, F.count(F.lit(1)).alias("n")).unionByName(messages.where(~has_id))

@@ -40,8 +40,9 @@ def stream_results(events: DataFrame, key: StreamKey, rules: list[Rule], latenes
     """Result rows of one stream key, before the threshold test."""
     if not key.slide:
         return results(window_rows(events, key, rules, lateness), rules)
-    # sliding: no lateness and no correction; append mode closes windows and drops late events
-    timed = with_event_time(events, "0 seconds")
+    # sliding: no lateness and no correction; append mode closes windows and drops late events, also for the window that
+    # ends just at the watermark
+    timed = with_event_time(events)
     if "heartbeat" in events.columns:
         timed = timed.where(~F.coalesce("heartbeat", F.lit(False)) | F.col("event_time").isNull())
     wide, used = grouped(timed, key, rules, "event_time")

@@ -1,7 +1,8 @@
 """Tumbling windows of a stream, with late events corrected and never dropped.
 
-Spark drops rows behind the watermark, so the watermark is declared ``SHIFT`` seconds later than wanted and
-the wanted one is computed back from it: nothing is ever behind the declared one.  Timers are shifted alike.
+Spark drops rows behind the watermark.  So the event time that it sees lies ``SHIFT`` after the real one and the watermark is
+declared as much later: it has the value of the wanted one, and a row is behind it only if it is more than ``SHIFT`` (a hundred years) late.
+Event times reach Python as nanoseconds, so they must lie before 2162.
 
 A window and group keeps algebraic parts of its aggregates, not events.  It is closed when the watermark
 reaches its end, kept for the allowed lateness, then forgotten.  An event for a closed window makes a corrected row at
@@ -24,8 +25,8 @@ from ..functions.windows import MICROS, event_window
 from ..plans.planner import StreamKey, prepared_for
 from ..plans.rules import Rule
 
-#: 400 days.  Events before 1971 would need less.
-SHIFT = 400 * 86400
+#: Seconds, a hundred years: later than any event can come that carries a real time, or 0 for want of one.
+SHIFT = 36525 * 86400
 STATE = StructType(
     [
         StructField("closed", BooleanType()),
@@ -58,7 +59,7 @@ class WindowProcessor(StatefulProcessor):
         self.state = handle.getValueState("window", STATE)
 
     def _timer(self, at: int) -> None:
-        self.handle.registerTimer((at - SHIFT) * 1000)
+        self.handle.registerTimer(at * 1000)
 
     def _row(self, key: tuple, corrected: bool, parts: tuple) -> dict:
         return {"group_key": key[1], "window_start": key[0], "window_end": key[0] + self.size, "corrected": corrected, "n": list(parts[0]), "s": list(parts[1]), "x": list(parts[2])}
@@ -76,7 +77,7 @@ class WindowProcessor(StatefulProcessor):
         return n, s, x
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() // 1000 + SHIFT - self.lateness
+        watermark = timerValues.getCurrentWatermarkInMs() // 1000 - self.lateness
         end = key[0] + self.size
         held = self.state.get() if self.state.exists() else None
         closed, parts = (False, None) if held is None else (held[0], held[1:])
@@ -120,20 +121,21 @@ class WindowProcessor(StatefulProcessor):
         pass
 
 
-def with_event_time(events: DataFrame, delay: str) -> DataFrame:
-    return events.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
+def with_event_time(events: DataFrame, shift: int = 0) -> DataFrame:
+    """``events`` with their time, ``shift`` seconds later, and a watermark at the largest unshifted one."""
+    return events.withColumn("event_time", F.timestamp_seconds(F.col("ts") + shift)).withWatermark("event_time", f"{shift} seconds")
 
 
 def window_rows(events: DataFrame, key: StreamKey, rules: list[Rule], lateness: int) -> DataFrame:
     """The stream's closed and corrected windows, with the rules' parts; ``events`` may hold ``heartbeat`` rows."""
-    timed = with_event_time(events, f"{SHIFT} seconds")
+    timed = with_event_time(events, SHIFT)
     if "heartbeat" in events.columns:
         # named with the event time, or the test would be moved below the watermark and heartbeats wouldn't move it
         timed = timed.where(~F.coalesce("heartbeat", F.lit(False)) | F.col("event_time").isNull())
     timed, at = prepared_for(timed, key, rules, ["event_time"])
     passes = F.array(*(matches(r.filter_field, r.filter_eq, at) for r in rules))
     numbers = F.array(*(field_number(r.agg_field, at) if r.agg_func != "count" else F.lit(None).cast("double") for r in rules))
-    times = event_window(F.col("event_time"), key.size)
+    times = event_window(F.timestamp_seconds(F.unix_seconds("event_time") - SHIFT), key.size)
     rows = timed.select(F.unix_seconds(times["start"]).alias("window_start"), group_key(key.group_by, at).alias("key"), passes.alias("passes"), numbers.alias("numbers"), "event_time")
     processor = WindowProcessor(key.size // MICROS, lateness // MICROS, tuple(r.agg_func for r in rules))
     return rows.groupBy("window_start", "key").transformWithStateInPandas(processor, OUTPUT, "append", "eventTime")

@@ -3,14 +3,16 @@
 *Counts.*  Tokens are words (A-Z lower-cased) and one end for each document.  Each chunk sends
 its distinct words with their training counts to buckets by hash; a bucket sums them and
 answers each chunk with the totals of its words, so every document's base score follows from counts over all training documents.
+A text is read once: later steps see it as ordinals of its chunk's words, then as symbols of the model.
 
 *Model.*  A gated recurrent unit in numpy reads the words one by one.  The vocabulary of the model is
 the ``VOCABULARY`` most frequent training words that occur twice or more; others share one symbol, whose words are told
 apart by their counts.  The output softmax is factored: words are dealt into classes of similar total count,
 and log p(word) = log p(class) + log p(word | class).  Training is truncated backpropagation through time over windows
-of ``WINDOW`` tokens, with the state carried from a document's first token to its end.  In every
-round tasks train copies of the weights on all tokens of their own training documents, and the copies are averaged, weighed by
-their tokens.  Documents lie one after the other in the rows of a batch, which gets more rows as a task goes on.
+of ``WINDOW`` tokens, with the state carried from a document's first token to its end.  Chunks of documents are dealt over
+shards of about ``SHARD_TOKENS``, as many as the data ask for.  In every
+round a copy of the weights learns from all tokens of each shard's training documents, and the copies are averaged, weighed by
+their tokens, so scores don't depend (but for rounding) on how Spark partitions.  Documents lie one after the other in the rows of a batch, which gets more rows as a task goes on.
 Scoring carries the state over the whole document.
 
 Null texts count as empty (one token, the end).  Repeated ids give a row each.  Without training
@@ -22,25 +24,34 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for, spill
+from .common import pieces_for, spill, text_bytes
 from .textkit import NULL_ID, chunked, in_order, packed, unpacked, word_hashes
 
 VOCABULARY, EMBED, HIDDEN = 32768, 16, 16
 WINDOW, SPAN, ROUNDS, RATE = 16, 16, 1, 0.02
 #: Rows of a batch: at least, at most, and tokens learnt for each row in between.
-FEWEST, BATCH, TOKENS_A_ROW = 64, 1024, 2048
-BUCKET_BYTES = 16 << 20
+FEWEST, BATCH, TOKENS_A_ROW = 256, 1024, 1024
+#: States whose class outputs are computed together: they stay in the cache.
+BLOCK = 1024
+#: Training tokens that one copy of the weights learns from, about; copies that are averaged at once.
+SHARD_TOKENS, FAN = 1 << 20, 16
+#: Text bytes for each bucket of words.
+BUCKET_BYTES = 27 << 20
 END = 0x5EED5EED5EED5EED
 #: Bytes A-Z to a-z.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-COUNTED = "bucket int, chunk int, n int, words binary, counts binary"
+COUNTED = "bucket int, chunk int, n int, words binary, counts binary, n_docs int, ids binary, nulls binary, sizes binary, ordinals binary"
 TOTALS = "chunk int, n int, words binary, counts binary"
+CODED = "chunk int, n int, n_docs int, ids binary, nulls binary, sizes binary, known binary, base binary, extra binary, symbols binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -73,11 +84,10 @@ class Model:
             "embed": rng.normal(0, scale, (n_class * size, EMBED)),
             "in": rng.normal(0, scale, (EMBED, 3 * HIDDEN)),
             "state": rng.normal(0, scale, (HIDDEN, 3 * HIDDEN)),
-            "gate": np.zeros(3 * HIDDEN),
-            "class": rng.normal(0, 0.01, (HIDDEN, n_class)),
-            "class_bias": log_class.copy(),
-            "word": rng.normal(0, 0.01, (n_class, size, HIDDEN)),
-            "word_bias": log_word.copy(),
+            "gate": np.zeros((1, 3 * HIDDEN)),
+            # the last weight of a class or word is its bias
+            "class": np.concatenate([rng.normal(0, 0.01, (HIDDEN, n_class)), log_class[None]]),
+            "word": np.concatenate([rng.normal(0, 0.01, (n_class, size, HIDDEN)), log_word[:, :, None]], 2),
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
@@ -85,7 +95,10 @@ class Model:
     def step(w: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """One step of the gated unit; ``x``: the tokens' rows of embed @ in + gate."""
         a = h @ w["state"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
+        zr = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        np.exp(-zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
         if keep is not None:
@@ -93,87 +106,127 @@ class Model:
         return h + z * (c - h)
 
     @staticmethod
-    def log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+    def shares(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the states' outputs (the states' last column is 1, for the bias), and their sums."""
+        out = h @ weights
+        np.exp(out, out=out)
+        return out, out @ np.ones(out.shape[1], np.float32)
+
+    @staticmethod
+    def by_class(of_class: np.ndarray, n_class: int) -> list[tuple[int, np.ndarray]]:
+        """The places of each class that occurs."""
+        order = np.argsort(of_class.astype(np.uint16) if n_class < 1 << 16 else of_class, kind="stable")
+        cut = np.searchsorted(of_class[order], np.arange(n_class + 1))
+        return [(c, order[cut[c] : cut[c + 1]]) for c in np.flatnonzero(np.diff(cut)).tolist()]
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the targets given the states before them."""
-        w, rows = self.w, np.arange(len(h))
+        w = self.w
         of_class, inside = target // self.size, target % self.size
-        first = h @ w["class"] + w["class_bias"]
-        out = first[rows, of_class] - np.log(np.exp(first).sum(1))
-        order = np.argsort(of_class, kind="stable")
-        cut = np.searchsorted(of_class[order], np.arange(len(w["word_bias"]) + 1))
-        for c in range(len(cut) - 1):  # a matrix product for each class
-            mine = order[cut[c] : cut[c + 1]]
-            if len(mine):
-                second = h[mine] @ w["word"][c].T + w["word_bias"][c]
-                out[mine] += second[np.arange(len(mine)), inside[mine]] - np.log(np.exp(second).sum(1))
-        return out
+        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1).astype(np.float32, copy=False)
+        share = np.empty(len(h), np.float32)
+        for a in range(0, len(h), BLOCK):
+            b = min(len(h), a + BLOCK)
+            first, total = self.shares(h[a:b], w["class"])
+            share[a:b] = first[np.arange(b - a), of_class[a:b]] / total
+        for c, mine in self.by_class(of_class, len(w["word"])):  # a matrix product for each class
+            second, total = self.shares(h[mine], w["word"][c].T)
+            share[mine] *= second[np.arange(len(mine)), inside[mine]] / total
+        return np.log(np.maximum(share, np.float32(1e-37)))
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray, memory: dict, rate: float, fresh: np.ndarray | None = None) -> np.ndarray:
         """One window, (batch, steps): a step of gradient ascent scaled by running squares.  The state after it.
 
-        Where ``fresh`` is set a document starts, with a state of zero.
+        Where ``fresh`` is set a document starts, with a state of zero.  Embeddings and words of classes that don't
+        occur in the window stay as they are.
         """
-        w = self.w
-        grad = {k: np.zeros_like(v) for k, v in w.items()}
-        projected = (w["embed"] @ w["in"] + w["gate"])[inputs]
-        kept, states = [], []
-        going = None if fresh is None else np.float32(1) - fresh.astype(np.float32)
-        for t in range(inputs.shape[1]):
+        w, (rows, steps) = self.w, inputs.shape
+        if "word" not in memory:
+            memory |= {k: np.zeros(v.shape[:-1], np.float32) for k, v in w.items()}
+        seen, at = np.unique(inputs.T, return_inverse=True)
+        at = at.ravel()
+        embedded = w["embed"][seen]
+        projected = (embedded @ w["in"] + w["gate"])[at].reshape(steps, rows, -1)
+        kept: list[tuple] = []
+        every = np.ones((steps, rows, HIDDEN + 1), np.float32)
+        going = None if fresh is None or not fresh.any() else np.float32(1) - fresh.T.astype(np.float32)[:, :, None]
+        for t in range(steps):
             if going is not None:
-                h = h * going[:, t, None]
-            h = self.step(w, projected[:, t], h, kept)
-            states.append(h)
+                h = h * going[t]
+            h = self.step(w, projected[t], h, kept)
+            every[t, :, :HIDDEN] = h
         # the outputs of all steps together: they don't depend on each other
-        every = np.stack(states, 1).reshape(-1, HIDDEN)
-        ok = np.flatnonzero(valid.ravel())
-        s, y = every[ok], targets.ravel()[ok]
+        ok = np.flatnonzero(valid.T.ravel())
+        whole = len(ok) == rows * steps
+        s, y = every.reshape(-1, HIDDEN + 1), targets.T.ravel()
+        if not whole:
+            s, y = s[ok], y[ok]
         of_class, inside = y // self.size, y % self.size
-        d = -np.exp(self.log_softmax(s @ w["class"] + w["class_bias"]))
-        d[np.arange(len(s)), of_class] += 1
-        grad["class"], grad["class_bias"] = s.T @ d, d.sum(0)
-        down = d @ w["class"].T
-        order = np.argsort(of_class, kind="stable")
-        cut = np.searchsorted(of_class[order], np.arange(len(w["word_bias"]) + 1))
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            mine = order[cut[c] : cut[c + 1]]
-            e = -np.exp(self.log_softmax(s[mine] @ w["word"][c].T + w["word_bias"][c]))
-            e[np.arange(len(mine)), inside[mine]] += 1
-            grad["word"][c], grad["word_bias"][c] = e.T @ s[mine], e.sum(0)
-            down[mine] += e @ w["word"][c]
-        back_of = np.zeros_like(every)
-        back_of[ok] = down
-        back_of = back_of.reshape(*inputs.shape, HIDDEN)
+        grad = {k: np.zeros_like(w[k]) for k in ("in", "state", "gate", "class")}
+        down = np.empty((len(s), HIDDEN), np.float32)
+        back_class = np.ascontiguousarray(w["class"][:HIDDEN].T)
+        for a in range(0, len(s), BLOCK):
+            b = min(len(s), a + BLOCK)
+            d, total = self.shares(s[a:b], w["class"])
+            d *= (np.float32(-1) / total)[:, None]
+            d[np.arange(b - a), of_class[a:b]] += 1
+            grad["class"] += s[a:b].T @ d
+            np.matmul(d, back_class, out=down[a:b])
+        weigh = np.float32(rows / max(1, len(ok)))
+        for c, mine in self.by_class(of_class, len(w["word"])):
+            own = s[mine]
+            d, total = self.shares(own, w["word"][c].T)
+            d *= (np.float32(-1) / total)[:, None]
+            d[np.arange(len(mine)), inside[mine]] += 1
+            down[mine] += d @ w["word"][c][:, :HIDDEN]
+            self.climb(w["word"][c], memory["word"][c], d.T @ own, weigh, rate)
+        back_of = down
+        if not whole:
+            back_of = np.zeros((steps * rows, HIDDEN), np.float32)
+            back_of[ok] = down
+        back_of = back_of.reshape(steps, rows, HIDDEN)
         back = np.zeros_like(h)
-        all_dx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-        for t in range(inputs.shape[1] - 1, -1, -1):
-            back = back + back_of[:, t]
+        all_dx, all_da = np.empty((2, steps, rows, 3 * HIDDEN), np.float32)
+        back_state = np.ascontiguousarray(w["state"].T)
+        for t in range(steps - 1, -1, -1):
+            back = back + back_of[t]
             before, z, r, c, ac = kept[t]
-            dz = back * (c - before) * z * (1 - z)
-            dc = back * z * (1 - c * c)
-            dr = dc * ac * r * (1 - r)
-            all_dx[:, t] = np.concatenate([dz, dr, dc], 1)
-            da = np.concatenate([dz, dr, dc * r], 1)
-            grad["state"] += before.T @ da
-            back = back * (1 - z) + da @ w["state"].T
+            dx, da = all_dx[t], all_da[t]
+            dc = back * z
+            dz = dc * (c - before)
+            dz *= 1 - z
+            dc *= 1 - c * c
+            dr = dc * ac
+            dr *= r * (1 - r)
+            dx[:, :HIDDEN], dx[:, HIDDEN : 2 * HIDDEN], dx[:, 2 * HIDDEN :] = dz, dr, dc
+            da[:, : 2 * HIDDEN] = dx[:, : 2 * HIDDEN]
+            np.multiply(dc, r, out=da[:, 2 * HIDDEN :])
+            back = back * (1 - z) + da @ back_state
             if going is not None:
-                back = back * going[:, t, None]
-        symbols, dx = inputs.ravel(), all_dx.reshape(-1, 3 * HIDDEN)
-        grad["gate"] = dx.sum(0)
-        grad["in"] = w["embed"][symbols].T @ dx
-        by = np.argsort(symbols, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(symbols[by]) > 0])
-        grad["embed"][symbols[by][first]] = np.add.reduceat(dx[by], first) @ w["in"].T
-        total = max(1.0, float(len(ok)))
+                back *= going[t]
+        before = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
+        grad["state"] = before.T @ all_da.reshape(-1, 3 * HIDDEN)
+        by = np.argsort(at.astype(np.uint16) if len(seen) < 1 << 16 else at, kind="stable")
+        first = np.searchsorted(at[by], np.arange(len(seen)))
+        dx = np.add.reduceat(all_dx.reshape(-1, 3 * HIDDEN)[by], first)  # by symbol
+        grad["gate"] = dx.sum(0, keepdims=True)
+        grad["in"] = embedded.T @ dx
+        squares = memory["embed"][seen]
+        self.climb(embedded, squares, dx @ w["in"].T, weigh, rate)
+        w["embed"][seen], memory["embed"][seen] = embedded, squares
         for k, g in grad.items():
-            g = np.clip(g / total * len(h), -1, 1)
-            memory[k] = 0.95 * memory.get(k, np.float32(0)) + 0.05 * g * g
-            w[k] += np.float32(rate) * g / (np.sqrt(memory[k]) + np.float32(1e-3))
+            self.climb(w[k], memory[k], g, weigh, rate)
         return h
 
+    @staticmethod
+    def climb(w: np.ndarray, memory: np.ndarray, grad: np.ndarray, weigh: np.float32, rate: float) -> None:
+        """Change weights (rows of a matrix) and their rows' running mean squares in place."""
+        square = np.einsum("ij,ij->i", grad, grad) * (weigh * weigh / np.float32(grad.shape[1]))
+        memory *= np.float32(0.95)
+        memory += np.float32(0.05) * square
+        grad *= (weigh * np.float32(rate) / (np.sqrt(memory) + np.float32(1e-3)))[:, None]
+        w += grad
+
 
 def _dealt(vocabulary: list[tuple[int, int]], rare: float) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     """Each word's place (class * size + number) and the start biases.  Place 0 is the shared symbol."""
@@ -207,6 +260,8 @@ class Coder:
 
 
 def _count(buckets: int):
+    """A chunk's distinct words with their training counts for the buckets, and its texts as ordinals of these words (bucket -1)."""
+
     def count(table: pa.Table) -> pa.Table:
         ids, texts, nulls = in_order(table)
         chunk = table.column("chunk")[0].as_py()
@@ -215,7 +270,8 @@ def _count(buckets: int):
         words, at = np.unique(hashes, return_inverse=True)
         counts = np.bincount(at, weights=learns, minlength=len(words)).astype(np.int64)
         bucket = np.searchsorted((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        rows = []
+        own = {"ids": packed(ids), "nulls": packed(nulls.astype(np.uint8)), "sizes": packed(n), "ordinals": packed(at.astype(np.uint32))}
+        rows = [{"bucket": -1, "chunk": chunk, "n": len(hashes), "n_docs": len(ids), **own}]
         for b in np.flatnonzero(np.diff(bucket)).tolist():
             a, e = bucket[b], bucket[b + 1]
             rows.append({"bucket": b, "chunk": chunk, "n": int(e - a), "words": packed(words[a:e], True), "counts": packed(counts[a:e].astype(np.uint32))})
@@ -304,22 +360,33 @@ class Rows:
         return inputs, targets, fresh, valid, h
 
 
-def _train_task(coder: Coder, size: int, weights: dict, rate: float):
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(np.zeros(1), np.zeros((1, 1)))
-        model.w, model.size = {k: v.copy() for k, v in weights.items()}, size
+def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a coded chunk: ids, null flags, sizes, and the symbols of each text."""
+    n = row["n_docs"]
+    sizes = unpacked(row["sizes"], n, np.int64)
+    return unpacked(row["ids"], n, np.int64), unpacked(row["nulls"], n, np.uint8) > 0, sizes, np.split(unpacked(row["symbols"], row["n"], np.uint16), np.cumsum(sizes)[:-1])
 
-        def documents() -> Iterator[np.ndarray]:
-            for batch in batches:
-                ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                keep = ~held_out(ids, batch.column(0).is_null().to_numpy(zero_copy_only=False))
-                for i in np.flatnonzero(keep).tolist():
-                    yield coder(tokens([batch.column(1)[i].as_buffer().to_pybytes()])[0])
 
-        learnt = learn(model, documents(), int(coder(np.array([END], np.uint64))[0]), rate)
+def _train_task(start: int, size: int, weights: dict, rate: float):
+    """Of coded chunks by shard: the sum of the shards' weights, each weighed by its tokens."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def documents(rows: Iterator[dict]) -> Iterator[np.ndarray]:
+            for row in rows:
+                ids, nulls, _, texts = _documents(row)
+                for i in np.flatnonzero(~held_out(ids, nulls)).tolist():
+                    yield texts[i].astype(np.int64)
+
+        total, learnt = 0.0, 0
+        rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
+        for _, mine in groupby(rows, key=itemgetter("shard")):
+            model = Model(np.zeros(1), np.zeros((1, 1)))
+            model.w, model.size = {k: v.copy() for k, v in weights.items()}, size
+            n = learn(model, documents(mine), start, rate)
+            if n:
+                total, learnt = total + n * np.concatenate([model.w[k].ravel() for k in sorted(model.w)]).astype(np.float64), learnt + n
         if learnt:
-            names = sorted(model.w)
-            yield pa.RecordBatch.from_pydict({"tokens": [learnt], "weights": [np.concatenate([model.w[k].ravel() for k in names]).astype("<f4").tobytes()]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": [learnt], "weights": [(total / learnt).astype("<f4").tobytes()]})
 
     return train
 
@@ -344,23 +411,31 @@ def learn(model: Model, documents: Iterator[np.ndarray], start: int, rate: float
             learnt += n
 
 
-def _average(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+def _average(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = 0.0, 0
     for batch in parts:
         for r in batch.to_pylist():
-            w = np.frombuffer(r["weights"], "<f4").astype(np.float64) * r["tokens"]
-            total, n = w if total is None else total + w, n + r["tokens"]
-    if n:
-        yield pa.RecordBatch.from_pydict({"tokens": [n], "weights": [(total / n).astype("<f4").tobytes()]})
+            total, n = total + np.frombuffer(r["weights"], "<f4").astype(np.float64) * r["tokens"], n + r["tokens"]
+    yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "tokens": [n], "weights": [(total / n).astype("<f4").tobytes()]})
 
 
-def train_model(docs: DataFrame, places: dict[int, int], log_class: np.ndarray, log_word: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``docs``: doc_id, text as bytes.  Weights are averaged in two levels, so the driver gets a bounded number of copies."""
-    model, coder = Model(log_class, log_word), Coder(places)
+def train_model(coded: DataFrame, n_train: int, start: int, log_class: np.ndarray, log_word: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Copies of the weights learn from shards of the coded chunks and are averaged.
+
+    What a shard learns doesn't depend on where it runs.  A task sends the average of its shards; these meet ``FAN`` at a time, in
+    as many levels as it takes until the driver gets at most ``FAN`` copies.
+    """
+    model = Model(log_class, log_word)
     names = sorted(model.w)
+    shards = max(1, -(-n_train // SHARD_TOKENS))
+    dealt = coded.withColumn("shard", F.pmod(F.col("chunk"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "chunk")
     for k in range(rounds):
-        parts = docs.mapInArrow(_train_task(coder, model.size, model.w, RATE / (1 + k)), "tokens long, weights binary")
-        rows = parts.repartition(8).mapInArrow(_average, "tokens long, weights binary").collect()  # at most 8 copies
+        parts = dealt.mapInArrow(_train_task(start, model.size, model.w, RATE / (1 + k)), "part int, tokens long, weights binary")
+        most = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        while most > FAN:
+            parts = parts.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(_average, "part int, tokens long, weights binary")
+            most = -(-most // FAN)
+        rows = sorted(parts.collect(), key=itemgetter("part"))  # at most FAN copies
         if not rows:
             break
         n = sum(r["tokens"] for r in rows)
@@ -372,16 +447,13 @@ def train_model(docs: DataFrame, places: dict[int, int], log_class: np.ndarray,
     return model
 
 
-def score_chunk(model: Model, coder: Coder, hashes: np.ndarray, n: np.ndarray, rare_log: np.ndarray) -> np.ndarray:
-    """log10 probability of every text: all texts take their steps together, the longest first."""
-    symbols = coder(hashes)
-    extra = np.where(symbols == coder.rare, rare_log, 0.0)
+def score_chunk(model: Model, symbols: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """log10 probability of every text's symbols: all texts take their steps together, the longest first."""
     first = np.cumsum(n) - n
-    out = np.add.reduceat(extra, first) if len(n) else np.zeros(0)
+    out = np.zeros(len(n))
     order = np.argsort(-n, kind="stable")
     length = n[order]
     projected = model.w["embed"] @ model.w["in"] + model.w["gate"]
-    start = int(coder(np.array([END], np.uint64))[0])
     h = np.zeros((len(n), HIDDEN), np.float32)
     symbol = np.full(len(n), start, np.int64)
     total = np.zeros(len(n))
@@ -413,34 +485,50 @@ def score_chunk(model: Model, coder: Coder, hashes: np.ndarray, n: np.ndarray, r
     return out / np.log(10)
 
 
-def _score(model: Model, coder: Coder, n_train: int, distinct: int, rare_mass: float):
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+def _code(coder: Coder, n_train: int, distinct: int, rare_mass: float):
+    """A chunk's texts as the model's symbols, with what follows from counts alone."""
+
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.Table.from_pylist([], schema=_schema(SCORED))
-        ids, texts, nulls = in_order(left)
-        hashes, n = tokens(texts)
-        words = np.concatenate([np.empty(0, np.uint64), *(unpacked(r["words"], r["n"], np.uint64, True) for r in right.to_pylist())])
-        counts = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], r["n"], np.int64) for r in right.to_pylist())])
-        order = np.argsort(words)
-        c = counts[order][np.searchsorted(words[order], hashes)]
-        first = np.cumsum(n) - n
-        base = np.add.reduceat(np.log10((c + 0.5) / (n_train + 0.5 * (distinct + 1))), first)
-        known = np.add.reduceat((c > 0).astype(np.int64), first)
+            return pa.Table.from_pylist([], schema=_schema(CODED))
+        row, sent = left.to_pylist()[0], right.to_pylist()
+        words = np.concatenate([np.empty(0, np.uint64), *(unpacked(r["words"], r["n"], np.uint64, True) for r in sent)])
+        counts = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], r["n"], np.int64) for r in sent)])
+        order = np.argsort(words)  # the ordinals are places among the chunk's words in order
+        words, c = words[order], counts[order]
+        symbols = coder(words)
         # words that share the model's symbol: by their counts among such words
-        rare_log = np.log((c + 0.5) / rare_mass)
-        out = score_chunk(model, coder, hashes, n, rare_log)
-        columns = [[None if z else int(i) for i, z in zip(ids, nulls, strict=True)], held_out(ids, nulls), n, known, np.full(len(n), n_train), base, out]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _schema(SCORED), strict=True)], schema=_schema(SCORED))
+        rare_log = np.where(symbols == coder.rare, np.log10((c + 0.5) / rare_mass), 0.0)
+        base_log = np.log10((c + 0.5) / (n_train + 0.5 * (distinct + 1)))
+        at, sizes = unpacked(row["ordinals"], row["n"], np.uint32), unpacked(row["sizes"], row["n_docs"], np.int64)
+        first = np.cumsum(sizes) - sizes
+        of_text = {"known": np.add.reduceat((c > 0).astype(np.int64)[at], first), "base": np.add.reduceat(base_log[at], first), "extra": np.add.reduceat(rare_log[at], first)}
+        out = {k: row[k] for k in ("chunk", "n", "n_docs", "ids", "nulls", "sizes")} | {k: packed(v) for k, v in of_text.items()}
+        return pa.Table.from_pylist([out | {"symbols": packed(symbols.astype(np.uint16)[at])}], schema=_schema(CODED))
+
+    return code
+
+
+def _score(model: Model, start: int, n_train: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                ids, nulls, n, _ = _documents(row)
+                known, base, extra = (unpacked(row[x], row["n_docs"], kind) for x, kind in (("known", np.int64), ("base", np.float64), ("extra", np.float64)))
+                out = extra + score_chunk(model, unpacked(row["symbols"], row["n"], np.uint16).astype(np.int64), n, start)
+                columns = [pa.array(ids, mask=nulls), held_out(ids, nulls), n, known, np.full(len(n), n_train), base, out]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _schema(SCORED), strict=True)], schema=_schema(SCORED))
 
     return score
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    rows = chunked(docs, id_col, text_col)
-    buckets = pieces_for(docs, BUCKET_BYTES, least=64)
-    counted = rows.groupBy("chunk").applyInArrow(_count(buckets), COUNTED)
-    totals = spill(counted.groupBy("bucket").applyInArrow(_sum, TOTALS), "word-totals")
+    size = text_bytes(docs, text_col)
+    counted = chunked(docs, id_col, text_col, size).groupBy("chunk").applyInArrow(_count(pieces_for(size, BUCKET_BYTES, least=64)), COUNTED)
+    counted = spill(counted, "word-counts")
+    totals = spill(counted.where("bucket >= 0").select("bucket", "chunk", "n", "words", "counts").groupBy("bucket").applyInArrow(_sum, TOTALS), "word-totals")
     summary = totals.where("chunk = -1").mapInArrow(_summary, "word long, n long, distinct long, is_sum boolean")
     summary = spill(summary, "word-summary")
     sums = summary.where("is_sum").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
@@ -451,7 +539,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the shared symbol's words, seen or not, smoothed as in the base score
     rare_mass = rare + 0.5 * (distinct - len(vocabulary) + 1)
     places, log_class, log_word = _dealt(vocabulary, rare_mass)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    model = train_model(source, places, log_class, log_word, rounds)
-    scored = _score(model, Coder(places), n_train, distinct, rare_mass)
-    return rows.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(scored, SCORED)
+    coder = Coder(places)
+    start = int(coder(np.array([END], np.uint64))[0])
+    texts = counted.where("bucket = -1").select("chunk", "n", "n_docs", "ids", "nulls", "sizes", "ordinals")
+    coded = texts.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(_code(coder, n_train, distinct, rare_mass), CODED)
+    coded = spill(coded, "coded")
+    model = train_model(coded.select("chunk", "n", "n_docs", "ids", "nulls", "sizes", "symbols"), n_train, start, log_class, log_word, rounds)
+    return coded.mapInArrow(_score(model, start, n_train), SCORED)

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for
+from .common import pieces_for, text_bytes
 from .textkit import chunked, in_order, packed, ranges, runs_hash, unpacked, word_hashes
 
 WIDTH = 13
-BUCKET_BYTES = 4 << 20
+#: Text bytes for each bucket of windows.
+BUCKET_BYTES = 7 << 20
 SENT = "bucket int, chunk int, n int, hashes binary, ordinals binary, docs binary, n_docs int, starts binary"
 ANSWER = "chunk int, n int, ordinals binary"
 KEPT = "doc_id long, n_words long, n_removed long, n_spans long, kept_text binary, kept_sha256 string"
@@ -150,8 +151,9 @@ def _schema(ddl: str) -> pa.Schema:
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_text (bytes, on request) and kept_sha256 of every row."""
-    rows = chunked(docs, id_col, text_col)
-    buckets = pieces_for(docs, BUCKET_BYTES, least=64)
+    size = text_bytes(docs, text_col)
+    rows = chunked(docs, id_col, text_col, size)
+    buckets = pieces_for(size, BUCKET_BYTES, least=64)
     sent = rows.groupBy("chunk").applyInArrow(_send(width, buckets), SENT)
     answers = sent.groupBy("bucket").applyInArrow(_decide, ANSWER)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(width, with_text), KEPT)

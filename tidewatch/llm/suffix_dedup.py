@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for
+from .common import pieces_for, text_bytes
 from .suffix_array import permuted_common_prefixes, suffix_array
 from .textkit import BYTE_VALUE, PLACE, chunked, in_order, joined, mix, packed, ranges, unpacked
 
 LENGTH, GRAM, STRETCH = 200, 32, 1024
 PART_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
-SHARD_BYTES = 2 << 20
+#: Text bytes for each bucket of keys and each shard; bytes of one key that one shard takes.
+BUCKET_BYTES, SHARD_BYTES, KEY_BYTES = 27 << 20, 7 << 19, 2 << 20
 #: Different stretches of one key that one shard takes.
 FEW = 2000
 SENT = "bucket int, chunk int, n int, keys binary, contents binary, starts binary, sizes binary, marks binary"
@@ -215,7 +215,7 @@ def _sift(length: int, few: int):
             state = np.where(ship, np.where(repeated, SHIP_AND_REPEATED, SHIP), np.where(repeated, REPEATED, -1))
             # keys with many different stretches are divided among several shards, by the bytes that single strings take
             strings = np.bincount(of_key[new], weights=size[new])[of_key].astype(np.int64)
-            spread = np.where(contents > few, np.maximum(-(-contents // few), -(-strings * length // SHARD_BYTES)), 1)
+            spread = np.where(contents > few, np.maximum(-(-contents // few), -(-strings * length // KEY_BYTES)), 1)
             for c in np.unique(chunk).tolist():
                 for s in (REPEATED, SHIP, SHIP_AND_REPEATED):
                     at = np.flatnonzero((chunk == c) & (state == s))
@@ -342,9 +342,10 @@ def _finish(length: int, with_text: bool):
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True, few: int = FEW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text (bytes, on request) and kept_sha256 of every row."""
-    rows = chunked(docs, id_col, text_col)
-    buckets = pieces_for(docs, BUCKET_BYTES, least=64)
-    shards = pieces_for(docs, SHARD_BYTES, least=64)
+    text_size = text_bytes(docs, text_col)
+    rows = chunked(docs, id_col, text_col, text_size)
+    buckets = pieces_for(text_size, BUCKET_BYTES, least=64)
+    shards = pieces_for(text_size, SHARD_BYTES, least=64)
     sent = rows.groupBy("chunk").applyInArrow(_send(length, buckets), SENT)
     answers = sent.groupBy("bucket").applyInArrow(_sift(length, few), ANSWER)
     wanted = answers.where(F.col("state") != REPEATED)

@@ -23,7 +23,7 @@ PLACE = np.uint64(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_VALUE[IS_SPACE] = 0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 14 << 20
 NULL_ID = -(2**63)
 
 
@@ -101,10 +101,11 @@ def unpacked(data: bytes, n: int, dtype: type, rising: bool = False) -> np.ndarr
     return np.cumsum(values, dtype=dtype) if rising else values
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, bytes_each: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, doc_id, text (as bytes), dealt over chunks of about ``bytes_each`` of stored input."""
-    n = pieces_for(docs, bytes_each, least=64)
-    chunk: Column = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
+def chunked(docs: DataFrame, id_col: str, text_col: str, size: int, bytes_each: int = CHUNK_BYTES) -> DataFrame:
+    """chunk, doc_id, text (as bytes), dealt over chunks of about ``bytes_each`` of text; ``size``: bytes of all texts."""
+    n = pieces_for(size, bytes_each, least=64)
+    # rows without an id are dealt by their text
+    chunk: Column = F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(n)).cast("int")
     return docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
 
 

@@ -1,17 +1,22 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import near_dedup
+from tidewatch.llm.common import text_bytes
 from tidewatch.llm.components import connected
-from tidewatch.llm.exact_dedup import exact_dedup
-from tidewatch.llm.near_dedup import edit_distance, near_digest, near_duplicates, order_min_hash, similarity, sketch_keys
+from tidewatch.llm.exact_dedup import exact_dedup, one_of_each
+from tidewatch.llm.near_dedup import edit_distance, edit_distances, near_digest, near_duplicates, one_of_each_class, order_min_hash, similarities, similarity, sketch_keys
 from tidewatch.llm.substring_dedup import remove_repeated_windows
 from tidewatch.llm.suffix_array import permuted_common_prefixes, suffix_array
 from tidewatch.llm.suffix_dedup import remove_repeated_bytes
+from tidewatch.llm.textkit import chunked
 
 
 def test_exact_dedup(docs, texts):
@@ -129,12 +134,8 @@ def test_components(spark):
 
 
 def test_near_duplicates(docs, texts):
-    split = {}
-    for i, t in texts:
-        if i is not None:
-            split[i] = min(split.get(i, (t or "").split()), (t or "").split())
-    ids = sorted(split)
-    parent = {i: i for i in ids}
+    rows = [(i, (t or "").split()) for i, t in texts]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -142,19 +143,23 @@ def test_near_duplicates(docs, texts):
         return x
 
     number = {}
-    code = {i: [number.setdefault(w, len(number)) for w in split[i]] for i in ids}
-    for x in ids:
-        for y in ids:
-            if x < y:
-                n = max(len(code[x]), len(code[y]))
-                if code[x] == code[y] or (min(len(code[x]), len(code[y])) > 5 and edit_distance(code[x], code[y], int(0.2 * n)) <= int(0.2 * n)):
-                    a, b = sorted((find(x), find(y)))
-                    parent[b] = a
+    code = [[number.setdefault(w, len(number)) for w in s] for _, s in rows]
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            n = max(len(code[x]), len(code[y]))
+            if code[x] == code[y] or (min(len(code[x]), len(code[y])) > 5 and edit_distance(code[x], code[y], int(0.2 * n)) <= int(0.2 * n)):
+                a, b = sorted((find(x), find(y)))
+                parent[b] = a
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    want = sorted((str(i), str(least.get(find(k)))) for k, (i, _) in enumerate(rows))
     got = near_digest(docs).collect()
-    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == {i: find(i) for i in ids}
-    assert len(got) == len(ids) + 1
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in got) == want
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
     _, links = near_duplicates(docs)
-    assert links.where("similarity < 0.8 or a >= b").count() == 0
+    assert links.where("similarity < 0.8 or a = b").count() == 0
 
 
 def test_every_two_classes_of_a_bucket_meet(spark, monkeypatch):
@@ -162,8 +167,10 @@ def test_every_two_classes_of_a_bucket_meet(spark, monkeypatch):
     rows = [(0, "a b c d e f g h i j k l")] + [(i, " ".join(f"t{i // 4}x{k}" for k in range(11)) + f" u{i}") for i in range(1, 24)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
 
-    def one_bucket(docs, id_col="doc_id", text_col="text", sketches=1):
-        return docs.selectExpr("doc_id", "md5(text) same", "array(1L) keys").selectExpr("doc_id", "cast(same as binary) same", "keys")
+    sketched = near_dedup.sketched
+
+    def one_bucket(*args):
+        return sketched(*args).withColumn("keys", F.array(F.lit(1).cast("long")))
 
     monkeypatch.setattr(near_dedup, "sketched", one_bucket)
     monkeypatch.setattr(near_dedup, "BLOCK", 5, raising=False)
@@ -171,6 +178,73 @@ def test_every_two_classes_of_a_bucket_meet(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {0: 0} | {i: max(1, i // 4 * 4) for i in range(1, 24)}
 
 
+def plain_distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+@pytest.mark.parametrize("long", [10, 10_000])
+def test_bands_and_filters_against_the_whole_table(monkeypatch, long):
+    monkeypatch.setattr(near_dedup, "LONG", long)
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(600):
+        a = [rng.randrange(rng.choice([2, 5, 50, 1000])) for _ in range(rng.randrange(70))]
+        b = list(a)
+        for _ in range(rng.randrange(18)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(50)] * rng.randrange(2)
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+    want = np.array([plain_distance(a.tolist(), b.tolist()) for a, b in pairs])
+    limits = np.array([rng.randrange(25) for _ in pairs])
+    assert edit_distances(pairs, limits).tolist() == np.minimum(want, limits + 1).tolist()
+    longer = np.array([max(len(a), len(b)) for a, b in pairs])
+    near = want <= (0.2 * longer + 1e-9).astype(int)
+    assert np.allclose(similarities(pairs), np.where(near, 1 - want / np.maximum(longer, 1), 0))
+
+
+#: Ids that are null, repeated and null for the longest text of a group.
+AWKWARD = [
+    (None, "lone words that no other row has at all here"), (None, "a text with a copy under another id in this table"), (5, "a text with a copy under another id in this table"),
+    (7, "first text of the repeated id seven which is alone"), (7, "second text of id seven with a copy under the number three"), (3, "second text of id seven with a copy under the number three"),
+    (9, "short spaces win nothing here today my friend"), (None, "short  spaces win nothing here today my friend"), (None, "short spaces win nothing here today my friend"),
+    (11, "x " * 30_000), (12, "x " * 30_000 + "y"),
+]
+
+
+@pytest.mark.parametrize("stage, want", [
+    (one_of_each, {0, 2, 3, 5, 7, 9, 10}),
+    (one_of_each_class, {0, 2, 3, 5, 6, 9}),
+])
+def test_rows_are_judged_by_their_own_text(spark, stage, want):
+    frame = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(AWKWARD)], "doc_id long, text string, rep long, kept string")
+    out = stage(frame)
+    assert out.columns == frame.columns
+    assert {r["rep"] for r in out.collect()} == want
+    assert stage(frame.limit(0)).count() == 0
+
+
+def test_exact_dedup_of_null_ids(spark):
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(AWKWARD)], "doc_id long, text string, k long")
+    for digest_all in (False, True):
+        got = exact_dedup(frame, digest_all=digest_all).collect()
+        assert len(got) == len(AWKWARD) and sum(r["kept"] for r in got) == 7
+        assert sorted(r["group_size"] for r in got) == [1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3]
+
+
+def test_chunks_follow_the_bytes_of_texts(spark, docs):
+    """Whatever the optimizer believes: a frame made in the driver, and a join, make few chunks."""
+    for frame in (docs, docs.join(docs.select(F.col("doc_id").alias("other")), F.col("doc_id") == F.col("other"))):
+        size = text_bytes(frame)
+        assert size < 3 << 20
+        assert chunked(frame, "doc_id", "text", size).agg(F.max("chunk")).first()[0] < 64
+
+
 def test_empty_tables(no_docs):
     assert exact_dedup(no_docs, digest_all=True).count() == 0
     assert near_digest(no_docs).count() == 0

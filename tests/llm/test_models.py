@@ -206,6 +206,80 @@ def test_the_models_vocabulary_is_tens_of_thousands():
     assert len(places) == VOCABULARY and 150 <= len(log_class) <= 220 and log_word.shape[1] <= 220
 
 
+def test_gradient_by_finite_differences(monkeypatch):
+    """What the weights climb is the slope of the log-probability, across windows' inputs, fresh starts and padding."""
+    rng = np.random.default_rng(5)
+    model = Model(np.log(np.full(3, 1 / 3)), np.log(np.full((3, 4), 0.25)))
+    model.w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in model.w.items()}
+    inputs, targets = rng.integers(0, 12, (2, 4, 6))
+    valid, fresh = rng.random((4, 6)) < 0.8, rng.random((4, 6)) < 0.2
+    state = rng.normal(0, 0.5, (4, 16))
+
+    def total():
+        h, out = state, 0.0
+        x = model.w["embed"] @ model.w["in"] + model.w["gate"]
+        for t in range(6):
+            h = model.step(model.w, x[inputs[:, t]], np.where(fresh[:, t, None], 0, h))
+            for i in np.flatnonzero(valid[:, t]):
+                s = np.append(h[i], 1)
+                c, k = divmod(int(targets[i, t]), model.size)
+                a, b = s @ model.w["class"], model.w["word"][c] @ s
+                out += a[c] - np.log(np.exp(a).sum()) + b[k] - np.log(np.exp(b).sum())
+        return out
+
+    slopes: dict = {}
+
+    def climb(w, memory, grad, weigh, rate):
+        slopes[id(memory)] = (grad.copy(), memory)
+
+    monkeypatch.setattr(Model, "climb", staticmethod(climb))
+    memory = {k: np.zeros(v.shape[:-1]) for k, v in model.w.items()}
+    memory["word"] = np.array([None, None, None], object)
+    memory["word"][:] = [np.zeros(4), np.zeros(4), np.zeros(4)]
+    model.train(inputs, targets, valid, state, memory, 0.1, fresh)
+    found = {k: slopes[id(memory[k])][0] for k in ("in", "state", "gate", "class")}
+    found |= {("word", c): slopes[id(memory["word"][c])][0] for c in range(3) if id(memory["word"][c]) in slopes}
+    for name, slope in found.items():
+        w = model.w[name] if isinstance(name, str) else model.w[name[0]][name[1]]
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(6)]:
+            was = w[at]
+            w[at] = was + 1e-5
+            up = total()
+            w[at] = was - 1e-5
+            down = total()
+            w[at] = was
+            assert abs((up - down) / 2e-5 - slope[at]) < 1e-3 * max(1, abs(slope[at])), name
+
+
+def test_scores_do_not_depend_on_partitions(docs):
+    one, many = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in score_documents(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-3 * abs(one[k]) for k in one)
+
+
+def test_words_are_forgotten_at_the_end_of_a_task(docs):
+    import gc
+
+    from tidewatch.llm import packing
+
+    known = packing.WordIds(tokenizer_path())
+    known.encode("one two, three".encode())
+    assert known and known.pieces
+    known.reset()
+    assert not known and not known.pieces and not len(known.flat) and gc.isenabled()
+
+
+def test_languages_keep_columns_of_their_names(spark, docs):
+    from corpus_pipeline import language_id
+
+    frame = docs.withColumn("lang_pred", F.lit("mine")).withColumn("text", F.when(F.col("doc_id") == 101, F.repeat(F.lit("ab cd "), F.lit(200_000))).otherwise(F.col("text")))
+    out = language_id(spark, frame, "")
+    assert out.columns == frame.columns
+    got = out.collect()
+    assert got and {r["lang_pred"] for r in got} == {"mine"} and {r["score"] for r in got} == {1.5} and 101 in {r["doc_id"] for r in got}
+    assert not {r["doc_id"] for r in got} & {1, 2, 3}
+    assert language_id(spark, frame.limit(0), "").count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(120, 6)).round(1)

@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of 1 to 3 characters of whole training texts by language, in a fixed
-number of hash buckets, so the counts (``BUCKETS`` x languages) have a proven size whatever the
+number of hash buckets, so the counts (at most ``MOST_CELLS``) have a proven size whatever the
 corpus; partial counts of a task are summed in Spark, and the log-probability matrix is broadcast.
 Scoring adds the matrix rows of all n-grams of a text, in numpy batches.
 
@@ -11,7 +11,8 @@ the smallest hashes of their ids); everything is predicted.
 
 ``und`` with score 0 is returned if the text is null or has no letter, or no row has a label.
 Equal scores: the first language in sorted order.  Null ids are never held out.  Repeated ids
-give a row each.  An empty table gives an empty result.  Other columns are ignored.
+give a row each.  Long texts count whole, a chunk of characters at a time.  An empty table gives an empty result.  Other columns are
+kept as they are, but for those named lang_pred and score.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ SMOOTHING = 0.5
 EVIDENCE = 60.0
 CHUNK_CHARS = 1 << 20
 UNKNOWN = "und"
+#: Numbers of the log-probability matrix, at most (64 MB).
+MOST_CELLS = 1 << 24
+#: A column name that no table has.
+FOUND = "language guess of tidewatch"
 
 
 def _fold_table() -> np.ndarray:
@@ -110,7 +115,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, buckets: int = BUCK
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + 1), "bucket": [-1, *at.tolist()], "n": [int(n[0]), *total[at].tolist()]})
 
-    counts = labelled.select(F.col(text_col), F.col(lang_col)).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = labelled.select(text_col, lang_col).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()  # at most (buckets + 1) x languages
     langs = sorted(set(rows.column("lang").to_pylist()))
     table, docs = np.zeros((buckets, len(langs))), np.zeros(len(langs))
@@ -152,31 +157,36 @@ def held_out_of(id_col: str, parts: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == rest, F.lit(False))
 
 
-def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (the columns ``keep``, all by default) with lang_pred and score.
+def guesses(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Column:
+    """A column of ``docs``: struct of lang_pred and score.
 
-    Learns from the rows where ``training`` holds and ``lang_col`` isn't null.
+    Learns, at once, from the rows where ``training`` holds and ``lang_col`` isn't null.  Only texts go to Python and only the answers
+    come back; Spark keeps the other columns meanwhile.
     """
     spark = docs.sparkSession
-    labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.count()
+    labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    n, n_langs = labelled.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
     if n > max_train:  # a bounded sample, the same in every run
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    langs, matrix = train(labelled, text_col, lang_col)
-    model = spark.sparkContext.broadcast((langs, matrix))  # BUCKETS x languages
-    columns = docs.columns if keep is None else keep
-    # a kept text isn't sent to Python twice
-    at = columns.index(text_col) if text_col in columns and dict(docs.dtypes)[text_col] == "string" else len(columns)
-    source = docs.select(*columns, *([F.col(text_col).cast("string").alias("__text")] if at == len(columns) else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", lang_pred string, score double"
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = score_texts(batch.column(at).to_pylist(), *model.value)
-            arrays = [*batch.columns[: len(columns)], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
+        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+    # what is broadcast has at most MOST_CELLS numbers: many languages share fewer buckets
+    buckets = min(BUCKETS, 1 << max(8, (MOST_CELLS // max(1, n_langs)).bit_length() - 1))
+    langs, matrix = train(labelled, "text", "lang", buckets)
+    model = spark.sparkContext.broadcast((langs, matrix))
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        names, scores = score_texts(texts.to_pylist(), *model.value)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return source.mapInArrow(predict, schema)
+    # not to be computed again where a filter on it is pushed down
+    return predict.asNondeterministic()(F.col(text_col).cast("string"))
+
+
+def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (the columns ``keep``, all by default) with lang_pred and score, which take the place of columns of these names."""
+    found = guesses(docs, training, id_col, text_col, lang_col, max_train)
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    return docs.select(*columns, found.alias(FOUND)).select(*columns, F.col(f"`{FOUND}`.lang_pred"), F.col(f"`{FOUND}`.score"))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -8,18 +8,21 @@ one of ``SKETCHES`` sketches are candidates.  Candidates are verified by a bande
 their words: similarity = 1 - edit distance / words of the longer text, at least 0.8.
 
 Classes are the connected components of verified links.  Texts with the same words are one
-entry throughout, so copies make no pairs.  In a sketch's bucket members are first compared with the
-bucket's first member.  Then all pairs of members in different classes are looked at, in blocks of at most
-``BLOCK`` members: a pair goes on if its lengths and its counts of words by hash allow the similarity
-(neither ever drops a similar pair).  One pair for each two classes is aligned, and, as that joins many
-classes, afterwards every pair whose members are still in different classes.
+entry throughout, so copies make no pairs.  In a sketch's bucket members are first compared with one
+of them.  Then all pairs of members in different classes are looked at, in blocks of at most
+``BLOCK`` members and only within lengths that allow the similarity: a pair goes on if its counts of words by hash
+allow it too.  One pair for each two classes is aligned, and, as that joins many
+classes, afterwards every pair whose members are still in different classes.  Before it is aligned, a pair's words and its runs of two words
+are counted: an edit changes one word and two runs on either side.  None of these filters ever drops a similar pair.
 
 The least likely pairs, of similarity 0.8 with all edits substitutions at random places, share an
 item with a probability of s = 0.8^3, so their sets have J = s / (2 - s) = 0.34 in common and a sketch
 is shared with a probability of about J^2 = 0.12: ``SKETCHES`` sketches miss about 1 pair in 8,000 by this estimate (substitutions spread evenly break more items: the tests allow 3 % there).
 
-Null texts count as empty.  Texts without words form one class.  Below five words 0.8 allows no edit.  Rows that repeat an id belong to
-one class by their first text in sorted order.  An empty table gives an empty result.  Other columns are
+Null texts count as empty.  Texts without words form one class.  Below five words 0.8 allows no edit.  Every row is judged by its
+own text: rows that repeat an id or have none are documents of their own.  A class's id is its smallest one (null if it has none),
+and the row that stays is the one with this id, among several of that id the one whose text has the smallest hash; rows equal in id and text can't be told apart
+and stay together.  Very long texts take time in proportion to words times edits.  An empty table gives an empty result.  Other columns are
 ignored.
 """
 
@@ -30,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill, text_or_empty
+from .common import spill, text_or_empty, without
 from .components import connected
 from .textkit import mix, ranges, runs_hash, word_hashes
 
@@ -41,12 +44,14 @@ SHINGLE, PICKS, SKETCHES, SIMILARITY = 3, 2, 72, 0.8
 #: (words of an item, least and most words of a text).  Ranges overlap so that two texts of similarity 0.8 have a level in common.
 LEVELS = ((1, 0, 12), (2, 10, 48), (SHINGLE, 38, 1 << 62))
 #: Bins of a text's counts of words by hash; members of a bucket compared at once; pairs held at once.
-BINS, BLOCK, PAIRS = 32, 4096, 1 << 20
+BINS, BLOCK, PAIRS = 64, 4096, 1 << 20
 #: Rows that a group of buckets has, about.
 SHARD_ROWS = 20_000
 PART_CHARS = 4 << 20
-#: Above this many edits the alignment goes on with bit vectors.
-NARROW = 48
+#: Edits that the narrowest band allows, and how much wider the next one is; cells of a row of bands, and words, held at once.
+NARROW, WIDER, CELLS, HELD_WORDS = 4, 4, 1 << 15, 1 << 20
+#: Words above which a text is aligned diagonal by diagonal.
+LONG = 1500
 
 
 def order_min_hash(texts: list[bytes], sketches: int = SKETCHES, picks: int = PICKS, width: int = SHINGLE) -> np.ndarray:
@@ -117,81 +122,195 @@ def sketch_keys(texts: list[bytes], sketches: int = SKETCHES) -> tuple[np.ndarra
     return np.concatenate(keys)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(texts))
 
 
-def edit_distance(a: list[int], b: list[int], limit: int) -> int:
-    """Edits between two word lists, or ``limit + 1`` if there are more.
+def _running_least(x: np.ndarray) -> np.ndarray:
+    """The least value so far in every column."""
+    if x.shape[1] < 16:
+        return np.minimum.accumulate(x, axis=0)
+    d = 1
+    while d < len(x):
+        y = np.empty_like(x)
+        y[:d] = x[:d]
+        np.minimum(x[d:], x[:-d], out=y[d:])
+        x, d = y, 2 * d
+    return x
+
 
-    First the furthest-reaching points of diagonals, in a band that widens by one with
-    every edit; past ``NARROW`` edits, bit vectors over the rest.
+def _band(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int, most: np.ndarray) -> np.ndarray:
+    """Edits of each pair, right where they are at most ``wide``; pairs that must have more than ``most`` are given up.
+
+    Rows of the table of edits within ``wide`` of its diagonal, for all pairs together: column c of row i is place
+    i + c - wide of the second text.  Each value is held less c, so that an insertion costs nothing there, a removal two.
     """
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    n = min(len(a), len(b))
-    start = 0
-    while start < n and a[start] == b[start]:
-        start += 1
-    stop = 0
-    while stop < n - start and a[len(a) - 1 - stop] == b[len(b) - 1 - stop]:
-        stop += 1
-    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
-    if not a or not b:
-        return max(len(a), len(b))
-    la, lb = len(a), len(b)
-    goal = lb - la
-    reach = {0: 0}
-    i = 0
-    while i < la and i < lb and a[i] == b[i]:
-        i += 1
-    reach[0] = i
-    for e in range(1, min(limit, NARROW) + 1):
-        new = {}
-        for d in range(-min(e, la), min(e, lb) + 1):
-            i = max(reach.get(d, -9) + 1, reach.get(d + 1, -9) + 1, reach.get(d - 1, -9))
-            if i < 0:
-                continue
-            i = min(i, la, lb - d)
-            j = i + d
-            if j < 0:
+    size = np.array([len(x) for x, _ in pairs])
+    order = np.argsort(-size, kind="stable")
+    size, goal = size[order], np.array([len(pairs[i][1]) - len(pairs[i][0]) + wide for i in order])
+    rows, n = int(size[0]), len(pairs)
+    first, second = np.zeros((rows, n), np.uint32), np.full((rows + 2 * wide + 1, n), 2**32 - 1, np.uint32)
+    for k, i in enumerate(order.tolist()):
+        x, y = pairs[i]
+        first[: len(x), k], second[wide : wide + len(y), k] = x, y
+    kind = np.int16 if rows + 4 * wide < 1 << 14 else np.int32
+    column = np.arange(2 * wide + 1, dtype=kind)[:, None]
+    now = np.where(column < wide, np.iinfo(kind).max // 2, -wide).astype(kind).repeat(n, 1)
+    out, alive, most = np.full(n, np.iinfo(np.int64).max), np.arange(n), most[order]
+    for i in range(rows):
+        step = now + (first[i] != second[i : i + 2 * wide + 1])
+        np.minimum(step[:-1], now[1:] + kind(2), out=step[:-1])
+        now = _running_least(step)
+        left = int(np.searchsorted(-size[alive], -(i + 1)))  # pairs with more rows
+        ended = np.arange(left, len(alive))
+        if len(ended):
+            at = goal[alive[ended]]
+            out[alive[ended]] = now[at, ended] + at
+            keep = np.arange(left)
+        elif i % 32 == 31:  # what is missing at least: the way back to the goal's diagonal
+            least = (now + column + np.abs(column - goal[alive].astype(kind))).min(0)
+            keep = np.flatnonzero(least <= most[alive])
+            if len(keep) > 0.75 * len(alive):
                 continue
-            while i < la and j < lb and a[i] == b[j]:
-                i += 1
-                j += 1
-            new[d] = i
-        reach = new
-        if reach.get(goal, -1) >= la:
+        else:
+            continue
+        if not len(keep):
+            break
+        alive, now, first, second = alive[keep], now[:, keep], first[:, keep], second[:, keep]
+    found = np.empty(n, np.int64)
+    found[order] = out
+    return found
+
+
+def _furthest(x: np.ndarray, y: np.ndarray, limit: int) -> int:
+    """Edits between two long texts, or ``limit + 1``: a band that widens by one diagonal on either side with every edit.
+
+    ``reach[d]`` is how far into ``x`` so many edits get on the diagonal d.  Cheaper than a table where there are few edits for many words.
+    """
+    nx, ny, middle = len(x), len(y), limit + 1
+    reach = np.full(2 * limit + 3, -2, np.int64)
+    diagonals = np.arange(-middle, middle + 1)
+    stop = np.minimum(nx, ny - diagonals)  # where a diagonal ends
+
+    def run(i: int, d: int) -> int:
+        """How far equal words go from i on the diagonal."""
+        end, block = min(nx, ny - d), 32
+        while i < end:
+            to = min(end, i + block)
+            differ = (x[i:to] != y[i + d : to + d]).argmax()
+            if x[i + differ] != y[i + differ + d]:
+                return i + int(differ)
+            i, block = to, 2 * block
+        return i
+
+    reach[middle] = run(0, 0)
+    for e in range(1, limit + 1):
+        a, b = middle - min(e, nx), middle + min(e, ny) + 1
+        new = np.maximum(reach[a:b], reach[a + 1 : b + 1])
+        new += 1
+        np.maximum(new, reach[a - 1 : b - 1], out=new)
+        np.minimum(new, stop[a:b], out=new)
+        d = diagonals[a:b]
+        at = np.flatnonzero((new < stop[a:b]) & (new >= 0) & (new + d >= 0))
+        at = at[x[new[at]] == y[new[at] + d[at]]]
+        while len(at) > 4:
+            new[at] += 1
+            at = at[new[at] < stop[a:b][at]]
+            at = at[x[new[at]] == y[new[at] + d[at]]]
+        for k in at.tolist():
+            new[k] = run(int(new[k]), int(d[k]))
+        reach[a:b] = new
+        if abs(ny - nx) <= e and reach[middle + ny - nx] >= nx:
             return e
-    if limit <= NARROW:
-        return limit + 1
-    return min(_bit_distance(a, b), limit + 1)
-
-
-def _bit_distance(a: list[int], b: list[int]) -> int:
-    """Edit distance by bit vectors in Python integers."""
-    places: dict[int, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for y in b:
-        eq = places.get(y, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        right, left = down | (full & ~(diagonal | up)), up & diagonal
-        if right & top:
-            score += 1
-        elif left & top:
-            score -= 1
-        right, left = (right << 1 | 1) & full, (left << 1) & full
-        up, down = left | (full & ~(diagonal | right)), right & diagonal
-    return score
+    return limit + 1
+
+
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
+    """Edits between the word arrays of each pair, or its limit + 1 if there are more.
+
+    Bands begin narrow and widen until they hold the alignment or reach the limit.
+    """
+    out = np.asarray(limits, np.int64) + 1
+    limits, rest = out - 1, {}
+    for k, (x, y) in enumerate(pairs):
+        n = min(len(x), len(y))
+        if max(len(x), len(y)) - n > limits[k]:
+            continue
+        differ = np.flatnonzero(x[:n] != y[:n])
+        start = int(differ[0]) if len(differ) else n
+        differ = np.flatnonzero(x[len(x) - n + start :][::-1] != y[len(y) - n + start :][::-1])
+        stop = int(differ[0]) if len(differ) else n - start
+        x, y = x[start : len(x) - stop], y[start : len(y) - stop]
+        if len(x) > LONG and len(y):
+            out[k] = _furthest(x, y, int(limits[k]))
+        elif len(x) and len(y):
+            rest[k] = (x, y)
+        else:
+            out[k] = min(out[k], max(len(x), len(y)))
+    wide = NARROW
+    while rest:
+        ready = sorted((k for k, (x, y) in rest.items() if abs(len(x) - len(y)) <= wide), key=lambda k: (limits[k], len(rest[k][0])))
+        at = 0
+        while at < len(ready):
+            to, most = at, 0
+            while to < len(ready):  # pairs of like limits and lengths: as many as make ``CELLS``
+                band, longest = min(wide, int(limits[ready[to]])), max(most, len(rest[ready[to]][0]))
+                if to > at and max((to - at + 1) * (2 * band + 1) / CELLS, (to - at + 1) * 2 * (longest + band) / HELD_WORDS) > 1:
+                    break
+                to, most = to + 1, longest
+            mine = ready[at:to]
+            band = min(wide, int(limits[mine].max()))
+            edits = _band([rest[k] for k in mine], band, np.minimum(limits[mine], band))
+            for k, e in zip(mine, edits.tolist(), strict=True):
+                if e <= band or band >= limits[k]:
+                    out[k] = min(out[k], e)
+                    del rest[k]
+            at = to
+        wide *= WIDER
+    return out
+
+
+def edit_distance(a: list[int], b: list[int], limit: int) -> int:
+    """Edits between two word lists, or ``limit + 1`` if there are more."""
+    return int(edit_distances([(np.asarray(a, np.uint32), np.asarray(b, np.uint32))], np.array([limit]))[0])
+
+
+def _shared_enough(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, width: int) -> np.ndarray:
+    """Whether the pairs' runs of ``width`` words allow the limits: an edit changes ``width`` runs at most on either side."""
+    owner, keys, side = [], [], []
+    for s, texts in enumerate(zip(*pairs, strict=True)):
+        size = np.array([len(t) for t in texts])
+        runs = runs_hash(np.concatenate(texts).astype(np.uint64), width)
+        count = np.maximum(size - width + 1, 0)
+        keys.append(runs[ranges(np.cumsum(size) - size, count)] if len(runs) else runs)
+        owner.append(np.repeat(np.arange(len(pairs)), count))
+        side.append(np.full(len(owner[-1]), 1 - 2 * s))
+    owner, side = np.concatenate(owner), np.concatenate(side)
+    keyed = np.concatenate(keys) + mix((owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(keyed)
+    keyed = keyed[order]
+    first = np.flatnonzero(np.r_[True, keyed[1:] != keyed[:-1]]) if len(keyed) else np.empty(0, np.int64)
+    more = np.add.reduceat(side[order], first) if len(first) else np.empty(0)
+    own = owner[order[first]]
+    extra = [np.bincount(own, weights=np.maximum(x, 0), minlength=len(pairs)) for x in (more, -more)]
+    return np.maximum(*extra) <= width * np.asarray(limits)
+
+
+def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARITY) -> np.ndarray:
+    """1 - edits / longer length of each pair, or 0 if below ``least``."""
+    longer = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
+    limits = ((1 - least) * longer + 1e-9).astype(np.int64)
+    out = np.zeros(len(pairs))
+    left = np.arange(len(pairs))
+    for width in (1, 2):
+        if len(left):
+            left = left[_shared_enough([pairs[i] for i in left], limits[left], width)]
+    edits = edit_distances([pairs[i] for i in left], limits[left])
+    ok = edits <= limits[left]
+    left, edits = left[ok], edits[ok]
+    out[left] = 1 - edits / np.maximum(longer[left], 1)
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """1 - edits / longer length, or 0 if below ``least``."""
-    longer = max(len(a), len(b))
-    if not longer:
-        return 1.0
-    limit = int((1 - least) * longer + 1e-9)
-    edits = edit_distance(a.tolist(), b.tolist(), limit)
-    return 0.0 if edits > limit else 1 - edits / longer
+    return float(similarities([(a, b)], least)[0])
 
 
 def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -205,25 +324,36 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key (hash of the text), text as bytes.  Id and text key together name a row."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
+
+
+def _row_key() -> Column:
+    """The id, or where it is null the text's hash: so rows without an id don't meet in one task."""
+    return F.coalesce("doc_id", "text_key")
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES) -> DataFrame:
-    """doc_id, same (digest of the words), keys (a long for each sketch of its levels)."""
+    """doc_id, text_key, same (digest of the words), keys (a long for each sketch of its levels)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in _parts(texts):
                 mine = texts[a:b]
                 same = [hashlib.md5(b" ".join(t.split())).digest() for t in mine]
                 keys, n = sketch_keys(mine, sketches)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], names=["doc_id", "same", "keys"])
+                columns = [*(batch.column(k).slice(a, b - a) for k in range(2)), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "same", "keys"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(sketch, "doc_id long, same binary, keys array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, text_key long, same binary, keys array<long>")
 
 
-def _word_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, words: 32-bit word hashes as bytes; n: their number; bag: their counts by hash, as bytes."""
+def _word_lists(texts: DataFrame) -> DataFrame:
+    """Of (rep, text): rep, words: 32-bit word hashes as bytes; n: their number; bag: their counts by hash, at most 255, as bytes."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,40 +363,45 @@ def _word_lists(docs: DataFrame) -> DataFrame:
                 short = (values >> np.uint64(32)).astype("<u4")
                 ends = np.cumsum(n)
                 bins = np.repeat(np.arange(b - a), n) * BINS + (short % np.uint32(BINS))
-                bags = np.minimum(np.bincount(bins, minlength=(b - a) * BINS), 65535).astype("<u2").reshape(b - a, BINS)
+                bags = np.minimum(np.bincount(bins, minlength=(b - a) * BINS), 255).astype(np.uint8).reshape(b - a, BINS)
                 words = [short[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "words", "n", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["rep", "words", "n", "bag"])
 
-    return docs.mapInArrow(hashed, "doc_id long, words binary, n long, bag binary")
+    return texts.mapInArrow(hashed, "rep long, words binary, n long, bag binary")
 
 
 def _close_pairs(least: float):
     def close(table: pa.Table) -> pa.Table:
         """Pairs (a < b) of a shard's buckets, of different classes, whose lengths and counts of words allow ``least``."""
         key, low, high, block, rep, label, n = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "rep", "label", "n"))
-        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
-        order = np.lexsort((rep, high, low, key))
+        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        order = np.lexsort((rep, n, high, low, key))
         key, low, high, block, rep, label, n, bag = (x[order] for x in (key, low, high, block, rep, label, n, bag))
         new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(key)))
-        after = np.repeat(first + size, size) - np.arange(len(key)) - 1
+        group = np.cumsum(new) - 1
+        # members are in order of length: each meets those after it until they are too long
+        longest = np.floor((n + 1e-6) / least).astype(np.int64)
+        base = int(max(n.max(), longest.max())) + 2
+        last = np.searchsorted(group * base + n, group * base + longest, side="right")
+        after = np.maximum(last - np.arange(len(key)) - 1, 0)
         ends = np.cumsum(after)
         found = []
         at = 0
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
             a, b = np.repeat(np.arange(at, to), after[at:to]), ranges(np.arange(at + 1, to + 1), after[at:to])
-            longer = np.maximum(n[a], n[b])
-            limit = ((1 - least) * longer + 1e-9).astype(np.int64)
-            ok = (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])) & (longer - np.minimum(n[a], n[b]) <= limit)
+            limit = ((1 - least) * n[b] + 1e-9).astype(np.int64)
+            ok = (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])) & (n[b] - n[a] <= limit)
             a, b, limit = a[ok], b[ok], limit[ok]
             for x in range(0, len(a), PAIRS // 8):
                 y = slice(x, x + PAIRS // 8)
                 more = bag[a[y]] - bag[b[y]]
                 # an edit changes each of both sums by one at most
-                ok = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= limit[y]
-                found.append(np.stack([rep[a[y]][ok], rep[b[y]][ok], label[a[y]][ok], label[b[y]][ok]], 1))
+                ok = np.maximum(np.maximum(more, 0).sum(1, dtype=np.int32), np.maximum(-more, 0).sum(1, dtype=np.int32)) <= limit[y]
+                pair = np.stack([rep[a[y]][ok], rep[b[y]][ok], label[a[y]][ok], label[b[y]][ok]], 1)
+                turned = pair[:, 0] > pair[:, 1]
+                pair[turned] = pair[turned][:, [1, 0, 3, 2]]
+                found.append(pair)
             at = to
         pairs = np.unique(np.concatenate([np.empty((0, 4), np.int64), *found]), axis=0)
         return pa.table([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "label_a", "label_b"])
@@ -285,7 +420,7 @@ def _between_classes(members: DataFrame, labels: DataFrame, words: DataFrame, le
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(64, rows // SHARD_ROWS))))
-    dealt = dealt.join(words.select(F.col("doc_id").alias("rep"), "n", "bag"), "rep").select("shard", "key", "low", "high", "block", "rep", "label", "n", "bag")
+    dealt = dealt.join(words.select("rep", "n", "bag"), "rep").select("shard", "key", "low", "high", "block", "rep", "label", "n", "bag")
     close = dealt.groupBy("shard").applyInArrow(_close_pairs(least), "a long, b long, label_a long, label_b long")
     return spill(close.distinct(), "close")
 
@@ -295,31 +430,37 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            found = [similarity(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), least) for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-
-    one = words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
-    two = words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
-    with_words = pairs.join(one, "a").join(two, "b").select("a", "b", "words_a", "words_b")
+            texts = [tuple(np.frombuffer(v.as_buffer(), "<u4") for v in two) for two in zip(batch.column(2), batch.column(3), strict=True)]
+            size = np.cumsum([len(x) + len(y) for x, y in texts])
+            cut = np.flatnonzero(np.diff(size // HELD_WORDS, prepend=0)).tolist()
+            found = [similarities(texts[x:y], least) for x, y in zip([0, *cut], [*cut, len(texts)], strict=True) if x < y]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.empty(0), *found]), pa.float64())], names=["a", "b", "similarity"])
+
+    one = words.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
+    two = words.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
+    # a may be the first of a large group: the second join deals the pairs by b, which isn't
+    with_words = pairs.join(one, "a").join(two.hint("merge"), "b").select("a", "b", "words_a", "words_b")
     return with_words.mapInArrow(align, "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class_id, copy_of) for every id, and the verified links (a, b, similarity).
+    """A row for each document, and the verified links (a, b, similarity) between entries.
 
-    ``copy_of`` is the smallest id with the same words; links are between such ids.
-    ``class_id`` is the smallest id of the class.
+    A row has doc_id, text_key (``xxhash64`` of its text), class_id, copy_of (the smallest id with the same words), kept, and rep (the number of its
+    entry, to which links refer).  How many links are verified depends on which members are compared first; classes don't.
     """
     sketch = spill(sketched(docs, id_col, text_col, sketches), "sketches")
-    ids = sketch.groupBy("doc_id").agg(F.min("same").alias("same"))
-    entry = spill(sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).where("rep is not null"), "entries")
+    row = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key")
+    entry = sketch.groupBy("same").agg(F.min(row).alias("first"), F.first("keys").alias("keys"))
+    entry = spill(entry.withColumn("rep", F.monotonically_increasing_id()), "entries")
     at = entry.select("rep", F.explode("keys").alias("key"))
     shared = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = spill(at.join(spill(shared, "shared"), "key").select("key", "rep"), "members")
-    involved = members.select("rep").distinct().withColumnRenamed("rep", "doc_id")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    words = spill(_word_lists(source.join(involved, "doc_id")).dropDuplicates(["doc_id"]), "words")
+    involved = entry.join(members.select("rep").distinct(), "rep").select("rep", "first.doc_id", "first.text_key")
+    involved = involved.select("rep", _row_key().alias("row_key"), F.col("text_key").alias("key_of_text"))
+    source = _rows(docs, id_col, text_col).withColumn("row_key", _row_key())
+    texts = source.join(involved, (source["row_key"] == involved["row_key"]) & (source["text_key"] == involved["key_of_text"])).select("rep", "text")
+    words = spill(_word_lists(texts).dropDuplicates(["rep"]), "words")
 
     def classes_of(tested: DataFrame) -> DataFrame:
         return connected(tested.where(F.col("similarity") >= least), "a", "b").select(F.col("node").alias("rep"), "label")
@@ -327,7 +468,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     head = spill(members.groupBy("key").agg(F.min("rep").alias("a")), "heads")
     pairs = members.join(head, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
     tested = spill(_verified(pairs, words, least), "verified")
-    labels = classes_of(tested)
+    labels = spill(classes_of(tested), "labels")
     close = _between_classes(members, labels, words, least)
     untested = spill(close.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "untested")
     # one pair for each two classes joins most that belong together; then all pairs that are still between classes
@@ -335,22 +476,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = spill(_verified(one, words, least), "verified")
     tested = tested.unionByName(found)
     if not found.where(F.col("similarity") >= least).isEmpty():  # else the classes stay
-        labels = classes_of(tested)
+        labels = spill(classes_of(tested), "labels")
     left, right = (labels.select(F.col("rep").alias(x), F.col("label").alias(f"now_{x}")) for x in "ab")
     rest = untested.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     rest = rest.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
     found = spill(_verified(rest, words, least), "verified")
     tested = tested.unionByName(found)
     if not found.where(F.col("similarity") >= least).isEmpty():
-        labels = classes_of(tested)
+        labels = spill(classes_of(tested), "labels")
     links = tested.where(F.col("similarity") >= least)
-    classes = ids.join(entry.select("same", "rep"), "same", "left").join(labels, "rep", "left")
-    return classes.select("doc_id", F.coalesce("label", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of")), links
+    entries = entry.select("same", "rep", F.col("first.doc_id").alias("copy_of"), "first").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    stays = spill(entries.groupBy("label").agg(F.min("first").alias("stays")), "stays")
+    entries = spill(entries.drop("first").join(stays, "label"), "classes")
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))
+    rows = sketch.select("doc_id", "text_key", "same").join(entries, "same")
+    return rows.select("doc_id", "text_key", F.col("stays.doc_id").alias("class_id"), "copy_of", kept.alias("kept"), "rep"), links
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that have a near-duplicate which stays."""
+    rows, _ = near_duplicates(docs, id_col, text_col)
+    return without(docs, rows.where(~F.col("kept")), id_col, text_col)
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links (verified links of its text to other texts), kept."""
-    classes, links = near_duplicates(docs)
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count(F.lit(1)).alias("n_links"))
-    out = classes.join(spill(degree, "degrees"), "copy_of", "left")
-    return out.select("doc_id", "class_id", "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    """A row for each document: doc_id, class_id, copy_of, n_links (verified links of its text to other texts), kept."""
+    rows, links = near_duplicates(docs)
+    degree = spill(links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links")), "degrees")
+    return rows.join(degree, "rep", "left").select("doc_id", "class_id", "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "kept")

@@ -33,7 +33,8 @@ from .common import spill, text_or_empty
 CAPACITY, END_ID = 4096, 1
 SHARD_PIECES = 40_000
 LOOSE_FILL = 0.98
-CACHE_WORDS = 600_000
+#: Words whose ids a task keeps, at about 200 bytes each, and parts of words.
+CACHE_WORDS, CACHE_PIECES = 300_000, 50_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -82,15 +83,13 @@ class WordIds(dict):
             for piece in _PIECE.findall(word.lower()):
                 ids = self.pieces.get(piece)
                 if ids is None:
+                    if len(self.pieces) >= CACHE_PIECES:
+                        self.pieces.clear()
                     text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
                     ids = self.pieces[piece] = [t.id for t in self.merge(text)]
                 out += ids
             return out
-        word = word.lower()
-        ids = self.pieces.get(word)
-        if ids is None:
-            ids = self.pieces[word] = [t.id for t in self.merge(word)]
-        return ids
+        return [t.id for t in self.merge(word.lower())]
 
     def __missing__(self, word: bytes) -> int:
         ids, n = self._ids(word.decode()), len(self)
@@ -139,15 +138,19 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker_ids(path)
         gc.disable()  # the cache has many small objects and no cycles
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(known.encode(text.as_buffer().to_pybytes()), np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=out_schema)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = np.append(known.encode(text.as_buffer().to_pybytes()), np.uint32(END_ID)).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=out_schema)
+        finally:  # the worker goes on to other tasks
+            known.reset()
+            gc.enable()
 
     kinds = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "ids": "array<int>"}
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))

@@ -33,7 +33,7 @@ def op3_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
+    return exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True).drop("text_key")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 ``STAGES`` lists the stages in order.  Each takes (spark, docs, sf_dir) and returns what it keeps,
 with the columns of ``documents``; the last returns packed pieces.  Between stages the documents are
 written as Parquet and read again.
+
+Every stage judges each row by its own text: a null text counts as empty, rows that repeat an id or have none are
+documents of their own, extra columns are kept whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_table, spill
-from tidewatch.llm.exact_dedup import exact_dedup
-from tidewatch.llm.langid import UNKNOWN, held_out_of, identify
-from tidewatch.llm.near_dedup import near_duplicates
+from tidewatch.llm.exact_dedup import one_of_each
+from tidewatch.llm.langid import FOUND, UNKNOWN, guesses, held_out_of
+from tidewatch.llm.near_dedup import one_of_each_class
 from tidewatch.llm.packing import pack
 from tidewatch.llm.pii import redact
 
@@ -21,39 +24,45 @@ from tidewatch.llm.pii import redact
 LEAST_SCORE = 0.3
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids`` (a null id is an id)."""
-    keep = ids.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; labels that are missing are filled in."""
-    columns = docs.columns
-    found = identify(docs, ~held_out_of("doc_id", 4, 2))
-    good = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    """Documents in a language that is known; labels that are missing are filled in.
+
+    Null and empty texts and those without a letter go, as do all if no row has a label.  Long texts are judged whole.
+    """
+    found = docs.withColumn(FOUND, guesses(docs, ~held_out_of("doc_id", 4, 2)))
+    good = found.where((F.col(f"`{FOUND}`.lang_pred") != UNKNOWN) & (F.col(f"`{FOUND}`.score") >= LEAST_SCORE))
+    return good.withColumn("lang", F.coalesce("lang", F.col(f"`{FOUND}`.lang_pred"))).drop(FOUND)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """One document of each group of equal texts: the longest before white space goes, then the smallest id, null ids last.
+
+    Rows that repeat the winning id all stay.
+    """
+    return one_of_each(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id."""
-    classes, _ = near_duplicates(docs)
-    return _only(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """One document of each class of near-duplicates: the one with the smallest id, null ids last.
+
+    Rows equal in id and text can't be told apart and stay together.
+    """
+    return one_of_each_class(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the personal data in their texts replaced by its kind."""
+    """All documents, with the personal data in their texts replaced by its kind, and ``n_chars`` counted again.
+
+    A null text stays null.
+    """
     out = redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens as sequences."""
+    """The documents' tokens as sequences: a row for each piece.  A null or empty text is its end token alone."""
     return pack(docs)
 
 

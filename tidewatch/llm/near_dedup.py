@@ -44,7 +44,9 @@ SHINGLE, PICKS, SKETCHES, SIMILARITY = 3, 2, 72, 0.8
 #: (words of an item, least and most words of a text).  Ranges overlap so that two texts of similarity 0.8 have a level in common.
 LEVELS = ((1, 0, 12), (2, 10, 48), (SHINGLE, 38, 1 << 62))
 #: Bins of a text's counts of words by hash; members of a bucket compared at once; pairs held at once.
-BINS, BLOCK, PAIRS = 64, 4096, 1 << 20
+BINS, BLOCK, PAIRS = 1024, 4096, 1 << 20
+#: The bins are added up to so many for a first look.
+COARSE = 64
 #: Rows that a group of buckets has, about.
 SHARD_ROWS = 20_000
 PART_CHARS = 4 << 20
@@ -363,7 +365,10 @@ def _word_lists(texts: DataFrame) -> DataFrame:
                 short = (values >> np.uint64(32)).astype("<u4")
                 ends = np.cumsum(n)
                 bins = np.repeat(np.arange(b - a), n) * BINS + (short % np.uint32(BINS))
-                bags = np.minimum(np.bincount(bins, minlength=(b - a) * BINS), 255).astype(np.uint8).reshape(b - a, BINS)
+                bags = np.zeros((b - a) * BINS, np.uint8)
+                at, count = np.unique(bins, return_counts=True)
+                bags[at] = np.minimum(count, 255)
+                bags = bags.reshape(b - a, BINS)
                 words = [short[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["rep", "words", "n", "bag"])
 
@@ -374,9 +379,10 @@ def _close_pairs(least: float):
     def close(table: pa.Table) -> pa.Table:
         """Pairs (a < b) of a shard's buckets, of different classes, whose lengths and counts of words allow ``least``."""
         key, low, high, block, rep, label, n = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "rep", "label", "n"))
-        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
         order = np.lexsort((rep, n, high, low, key))
         key, low, high, block, rep, label, n, bag = (x[order] for x in (key, low, high, block, rep, label, n, bag))
+        coarse = bag.reshape(-1, BINS // COARSE, COARSE).sum(1, dtype=np.int32)
         new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
         group = np.cumsum(new) - 1
         # members are in order of length: each meets those after it until they are too long
@@ -393,15 +399,18 @@ def _close_pairs(least: float):
             limit = ((1 - least) * n[b] + 1e-9).astype(np.int64)
             ok = (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])) & (n[b] - n[a] <= limit)
             a, b, limit = a[ok], b[ok], limit[ok]
-            for x in range(0, len(a), PAIRS // 8):
-                y = slice(x, x + PAIRS // 8)
-                more = bag[a[y]] - bag[b[y]]
-                # an edit changes each of both sums by one at most
-                ok = np.maximum(np.maximum(more, 0).sum(1, dtype=np.int32), np.maximum(-more, 0).sum(1, dtype=np.int32)) <= limit[y]
-                pair = np.stack([rep[a[y]][ok], rep[b[y]][ok], label[a[y]][ok], label[b[y]][ok]], 1)
-                turned = pair[:, 0] > pair[:, 1]
-                pair[turned] = pair[turned][:, [1, 0, 3, 2]]
-                found.append(pair)
+            for held, step in ((coarse, PAIRS // 8), (bag, PAIRS // 64)):
+                ok = np.empty(len(a), bool)
+                for x in range(0, len(a), step):
+                    y = slice(x, x + step)
+                    more = np.subtract(held[a[y]], held[b[y]], dtype=np.int16 if held is bag else np.int32)
+                    # an edit changes each of both sums by one at most
+                    ok[y] = np.maximum(np.maximum(more, 0).sum(1, dtype=np.int32), np.maximum(-more, 0).sum(1, dtype=np.int32)) <= limit[y]
+                a, b, limit = a[ok], b[ok], limit[ok]
+            pair = np.stack([rep[a], rep[b], label[a], label[b]], 1)
+            turned = pair[:, 0] > pair[:, 1]
+            pair[turned] = pair[turned][:, [1, 0, 3, 2]]
+            found.append(pair)
             at = to
         pairs = np.unique(np.concatenate([np.empty((0, 4), np.int64), *found]), axis=0)
         return pa.table([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "label_a", "label_b"])

@@ -11,7 +11,7 @@ Classes are the connected components of verified links.  Texts with the same wor
 entry throughout, so copies make no pairs.  In a sketch's bucket members are first compared with one
 of them.  Then all pairs of members in different classes are looked at, in blocks of at most
 ``BLOCK`` members and only within lengths that allow the similarity: a pair goes on if its counts of words by hash
-allow it too.  One pair for each two classes is aligned, and, as that joins many
+allow it too, from the first bucket that its members share.  One pair for each two classes is aligned, and, as that joins many
 classes, afterwards every pair whose members are still in different classes.  Before it is aligned, a pair's words and its runs of two words
 are counted: an edit changes one word and two runs on either side.  None of these filters ever drops a similar pair.
 
@@ -43,6 +43,8 @@ from .textkit import mix, ranges, runs_hash, word_hashes
 SHINGLE, PICKS, SKETCHES, SIMILARITY = 3, 2, 72, 0.8
 #: (words of an item, least and most words of a text).  Ranges overlap so that two texts of similarity 0.8 have a level in common.
 LEVELS = ((1, 0, 12), (2, 10, 48), (SHINGLE, 38, 1 << 62))
+#: Bits of a sketch that hold its number.
+SLOT_BITS = 8
 #: Bins of a text's counts of words by hash; members of a bucket compared at once; pairs held at once.
 BINS, BLOCK, PAIRS = 1024, 4096, 1 << 20
 #: The bins are added up to so many for a first look.
@@ -110,13 +112,20 @@ def order_min_hash(texts: list[bytes], sketches: int = SKETCHES, picks: int = PI
 
 
 def sketch_keys(texts: list[bytes], sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches of all texts at their levels, and how many each text has."""
+    """The sketches of all texts at their levels, and how many each text has.
+
+    The lowest ``SLOT_BITS`` bits of a sketch say which one it is.  (No text has sketches of the first and the third level.)
+    """
+    if len(LEVELS[:2]) * sketches > 1 << SLOT_BITS:
+        raise ValueError(f"at most {(1 << SLOT_BITS) // 2} sketches, not {sketches}")
     n = np.array([len(t.split()) for t in texts], np.int64)
     owner, keys = [], []
-    for width, least, most in LEVELS:
+    for level, (width, least, most) in enumerate(LEVELS):
         mine = np.flatnonzero((n >= least) & (n <= most))
         if len(mine):
-            keys.append(order_min_hash([texts[i] for i in mine], sketches, PICKS, width).ravel())
+            found = order_min_hash([texts[i] for i in mine], sketches, PICKS, width) >> np.uint64(SLOT_BITS) << np.uint64(SLOT_BITS)
+            found |= np.arange(sketches, dtype=np.uint64) + np.uint64(level % 2 * sketches)
+            keys.append(found.ravel())
             owner.append(np.repeat(mine, sketches))
     if not keys:
         return np.empty(0, np.uint64), n
@@ -377,11 +386,19 @@ def _word_lists(texts: DataFrame) -> DataFrame:
 
 def _close_pairs(least: float):
     def close(table: pa.Table) -> pa.Table:
-        """Pairs (a < b) of a shard's buckets, of different classes, whose lengths and counts of words allow ``least``."""
+        """Pairs (a < b) of a shard's buckets, of different classes, whose lengths and counts of words allow ``least``.
+
+        A pair is left to the first of the buckets that both members share: ``earlier`` holds a member's keys before this one.
+        """
         key, low, high, block, rep, label, n = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "rep", "label", "n"))
         bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+        lists = table.column("earlier").combine_chunks()
+        values = lists.flatten().to_numpy()
+        slot = values & ((1 << SLOT_BITS) - 1)
+        earlier = np.zeros((len(key), int(slot.max(initial=0)) + 1), np.int64)
+        earlier[np.repeat(np.arange(len(key)), np.diff(lists.offsets.to_numpy())), slot] = values
         order = np.lexsort((rep, n, high, low, key))
-        key, low, high, block, rep, label, n, bag = (x[order] for x in (key, low, high, block, rep, label, n, bag))
+        key, low, high, block, rep, label, n, bag, earlier = (x[order] for x in (key, low, high, block, rep, label, n, bag, earlier))
         coarse = bag.reshape(-1, BINS // COARSE, COARSE).sum(1, dtype=np.int32)
         new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
         group = np.cumsum(new) - 1
@@ -399,6 +416,13 @@ def _close_pairs(least: float):
             limit = ((1 - least) * n[b] + 1e-9).astype(np.int64)
             ok = (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])) & (n[b] - n[a] <= limit)
             a, b, limit = a[ok], b[ok], limit[ok]
+            for held in (earlier[:, :8], earlier[:, 8:]):
+                ok = np.empty(len(a), bool)
+                for x in range(0, len(a), PAIRS // 64):
+                    y = slice(x, x + PAIRS // 64)
+                    one = held[a[y]]
+                    ok[y] = ~((one == held[b[y]]) & (one != 0)).any(1)
+                a, b, limit = a[ok], b[ok], limit[ok]
             for held, step in ((coarse, PAIRS // 8), (bag, PAIRS // 64)):
                 ok = np.empty(len(a), bool)
                 for x in range(0, len(a), step):
@@ -412,7 +436,7 @@ def _close_pairs(least: float):
             pair[turned] = pair[turned][:, [1, 0, 3, 2]]
             found.append(pair)
             at = to
-        pairs = np.unique(np.concatenate([np.empty((0, 4), np.int64), *found]), axis=0)
+        pairs = np.concatenate([np.empty((0, 4), np.int64), *found])
         return pa.table([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "label_a", "label_b"])
 
     return close
@@ -424,14 +448,19 @@ def _between_classes(members: DataFrame, labels: DataFrame, words: DataFrame, le
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     mixed = spill(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"), "size"), "mixed")
     rows = mixed.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
-    dealt = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    mine = spill(named.join(mixed.drop("size"), "key"), "mine")
+    # two members of different classes share mixed buckets only; a member has at most as many as it has sketches
+    about = mine.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(words.select("rep", "n", "bag"), "rep")
+    dealt = mine.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # every two blocks of a bucket meet once: a member goes where its block is the lower or the higher one
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(64, rows // SHARD_ROWS))))
-    dealt = dealt.join(words.select("rep", "n", "bag"), "rep").select("shard", "key", "low", "high", "block", "rep", "label", "n", "bag")
+    slot = (1 << SLOT_BITS) - 1
+    earlier = F.filter("keys", lambda k: k.bitwiseAND(slot) < F.col("key").bitwiseAND(slot)).alias("earlier")
+    dealt = dealt.join(about, "rep").select("shard", "key", "low", "high", "block", "rep", "label", "n", "bag", earlier)
     close = dealt.groupBy("shard").applyInArrow(_close_pairs(least), "a long, b long, label_a long, label_b long")
-    return spill(close.distinct(), "close")
+    return spill(close, "close")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:

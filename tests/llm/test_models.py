@@ -155,7 +155,7 @@ def test_language_model(docs, texts):
 
 def test_model_probabilities_and_gradient():
     rng = np.random.default_rng(0)
-    model = Model(np.log(np.full(3, 1 / 3)), np.log(np.full((3, 4), 0.25)))
+    model = Model(np.array([0, 4, 8, 12]), np.log(np.full(3, 1 / 3)), np.log(np.full(12, 0.25)))
     h = rng.normal(size=(5, 16)).astype(np.float32)
     total = sum(np.exp(model.log_probs(h, np.full(5, y))) for y in range(12))
     assert np.allclose(total, 1, atol=1e-4)
@@ -193,7 +193,7 @@ def test_the_model_learns_from_every_token(monkeypatch):
         return out
 
     monkeypatch.setattr(Model, "train", train)
-    model = Model(np.log(np.full(3, 1 / 3)), np.log(np.full((3, 4), 0.25)))
+    model = Model(np.array([0, 4, 8, 12]), np.log(np.full(3, 1 / 3)), np.log(np.full(12, 0.25)))
     assert learn(model, iter(docs), 0, 0.02) == sum(map(len, docs))
     assert seen == Counter((k, int(d[k - 1]) if k else 0, int(d[k])) for d in docs for k in range(len(d)))
     monkeypatch.setattr(Model, "train", was)
@@ -202,14 +202,19 @@ def test_the_model_learns_from_every_token(monkeypatch):
 
 def test_the_models_vocabulary_is_tens_of_thousands():
     assert VOCABULARY >= 20000
-    places, log_class, log_word = _dealt([(i, 50000 - i) for i in range(1, VOCABULARY)], 7)
-    assert len(places) == VOCABULARY and 150 <= len(log_class) <= 220 and log_word.shape[1] <= 220
+    counts = [max(2, 10**7 // i) for i in range(1, VOCABULARY)]
+    places, (first, log_class, log_word) = _dealt(list(enumerate(counts, 1)), 7)
+    assert sorted(places.values()) == list(range(VOCABULARY)) and first[0] == 0 and first[-1] == VOCABULARY == len(log_word)
+    assert np.isclose(np.exp(log_class).sum(), 1) and np.allclose(np.add.reduceat(np.exp(log_word), first[:-1]), 1)
+    # the outputs that a token costs: fewer than with as many classes as words in each
+    assert len(log_class) + np.exp(log_class) @ np.diff(first) < 1.4 * VOCABULARY**0.5
+    assert _dealt([], 5.0)[0] == {-1: 0}  # no word but the shared symbol
 
 
 def test_gradient_by_finite_differences(monkeypatch):
     """What the weights climb is the slope of the log-probability, across windows' inputs, fresh starts and padding."""
     rng = np.random.default_rng(5)
-    model = Model(np.log(np.full(3, 1 / 3)), np.log(np.full((3, 4), 0.25)))
+    model = Model(np.array([0, 4, 8, 12]), np.log(np.full(3, 1 / 3)), np.log(np.full(12, 0.25)))
     model.w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in model.w.items()}
     inputs, targets = rng.integers(0, 12, (2, 4, 6))
     valid, fresh = rng.random((4, 6)) < 0.8, rng.random((4, 6)) < 0.2
@@ -222,8 +227,8 @@ def test_gradient_by_finite_differences(monkeypatch):
             h = model.step(model.w, x[inputs[:, t]], np.where(fresh[:, t, None], 0, h))
             for i in np.flatnonzero(valid[:, t]):
                 s = np.append(h[i], 1)
-                c, k = divmod(int(targets[i, t]), model.size)
-                a, b = s @ model.w["class"], model.w["word"][c] @ s
+                c, k = divmod(int(targets[i, t]), 4)
+                a, b = s @ model.w["class"], model.w["word"][4 * c : 4 * c + 4] @ s
                 out += a[c] - np.log(np.exp(a).sum()) + b[k] - np.log(np.exp(b).sum())
         return out
 
@@ -234,13 +239,9 @@ def test_gradient_by_finite_differences(monkeypatch):
 
     monkeypatch.setattr(Model, "climb", staticmethod(climb))
     memory = {k: np.zeros(v.shape[:-1]) for k, v in model.w.items()}
-    memory["word"] = np.array([None, None, None], object)
-    memory["word"][:] = [np.zeros(4), np.zeros(4), np.zeros(4)]
     model.train(inputs, targets, valid, state, memory, 0.1, fresh)
-    found = {k: slopes[id(memory[k])][0] for k in ("in", "state", "gate", "class")}
-    found |= {("word", c): slopes[id(memory["word"][c])][0] for c in range(3) if id(memory["word"][c]) in slopes}
-    for name, slope in found.items():
-        w = model.w[name] if isinstance(name, str) else model.w[name[0]][name[1]]
+    for name in ("in", "state", "gate", "class", "word"):
+        w, slope = model.w[name], slopes[id(memory[name])][0]
         for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(6)]:
             was = w[at]
             w[at] = was + 1e-5

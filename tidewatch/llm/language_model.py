@@ -7,8 +7,9 @@ A text is read once: later steps see it as ordinals of its chunk's words, then a
 
 *Model.*  A gated recurrent unit in numpy reads the words one by one.  The vocabulary of the model is
 the ``VOCABULARY`` most frequent training words that occur twice or more; others share one symbol, whose words are told
-apart by their counts.  The output softmax is factored: words are dealt into classes of similar total count,
-and log p(word) = log p(class) + log p(word | class).  Training is truncated backpropagation through time over windows
+apart by their counts.  The output softmax is factored: log p(word) = log p(class) + log p(word | class).  A token costs as many
+outputs as there are classes, and as there are words in its own.  The expected sum is least for classes of neighbours in frequency with equal sums of
+the square roots of their words' shares, and as many classes as that sum over all words: frequent words have small classes.  Training is truncated backpropagation through time over windows
 of ``WINDOW`` tokens, with the state carried from a document's first token to its end.  Chunks of documents are dealt over
 shards of about ``SHARD_TOKENS``, as many as the data ask for.  In every
 round a copy of the weights learns from all tokens of each shard's training documents, and the copies are averaged, weighed by
@@ -39,7 +40,7 @@ from .textkit import NULL_ID, chunked, in_order, packed, unpacked, word_hashes
 VOCABULARY, EMBED, HIDDEN = 32768, 16, 16
 WINDOW, SPAN, ROUNDS, RATE = 16, 16, 1, 0.02
 #: Rows of a batch: at least, at most, and tokens learnt for each row in between.
-FEWEST, BATCH, TOKENS_A_ROW = 256, 1024, 1024
+FEWEST, BATCH, TOKENS_A_ROW = 512, 1024, 1024
 #: States whose class outputs are computed together: they stay in the cache.
 BLOCK = 1024
 #: Training tokens that one copy of the weights learns from, about; copies that are averaged at once.
@@ -74,20 +75,20 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Weights of the recurrent model, as a dict of float32 arrays, and its steps."""
 
-    def __init__(self, log_class: np.ndarray, log_word: np.ndarray):
-        """Biases start at the counts' log-probabilities: of classes, and of words (classes, size)."""
+    def __init__(self, first: np.ndarray, log_class: np.ndarray, log_word: np.ndarray):
+        """``first``: places of the classes' first words, and the end.  Biases start at the counts' log-probabilities: of classes, and of words in them."""
         rng = np.random.default_rng(7)
-        n_class, size = log_word.shape
-        self.size = size
+        n_class = len(log_class)
+        self.first = first
         scale = 0.3
         self.w = {
-            "embed": rng.normal(0, scale, (n_class * size, EMBED)),
+            "embed": rng.normal(0, scale, (len(log_word), EMBED)),
             "in": rng.normal(0, scale, (EMBED, 3 * HIDDEN)),
             "state": rng.normal(0, scale, (HIDDEN, 3 * HIDDEN)),
             "gate": np.zeros((1, 3 * HIDDEN)),
             # the last weight of a class or word is its bias
             "class": np.concatenate([rng.normal(0, 0.01, (HIDDEN, n_class)), log_class[None]]),
-            "word": np.concatenate([rng.normal(0, 0.01, (n_class, size, HIDDEN)), log_word[:, :, None]], 2),
+            "word": np.concatenate([rng.normal(0, 0.01, (len(log_word), HIDDEN)), log_word[:, None]], 1),
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
@@ -112,33 +113,37 @@ class Model:
         np.exp(out, out=out)
         return out, out @ np.ones(out.shape[1], np.float32)
 
-    @staticmethod
-    def by_class(of_class: np.ndarray, n_class: int) -> list[tuple[int, np.ndarray]]:
-        """The places of each class that occurs."""
-        order = np.argsort(of_class.astype(np.uint16) if n_class < 1 << 16 else of_class, kind="stable")
-        cut = np.searchsorted(of_class[order], np.arange(n_class + 1))
-        return [(c, order[cut[c] : cut[c + 1]]) for c in np.flatnonzero(np.diff(cut)).tolist()]
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of the targets by class, their classes in that order, and for each class of several words that occurs:
+        its first word, its end, its first place in the order, the end of its places."""
+        order = np.argsort(target.astype(np.uint16) if self.first[-1] <= 1 << 16 else target, kind="stable")
+        cut = np.searchsorted(target[order], self.first)
+        several = np.flatnonzero((np.diff(cut) > 0) & (np.diff(self.first) > 1))
+        bounds = np.stack([self.first[several], self.first[several + 1], cut[several], cut[several + 1]], 1).tolist()
+        return order, np.repeat(np.arange(len(self.first) - 1), np.diff(cut)), bounds
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the targets given the states before them."""
         w = self.w
-        of_class, inside = target // self.size, target % self.size
-        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1).astype(np.float32, copy=False)
-        share = np.empty(len(h), np.float32)
+        order, of_class, bounds = self.by_class(target)
+        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1).astype(np.float32, copy=False)[order]
+        y, share = target[order], np.empty(len(h), np.float32)
         for a in range(0, len(h), BLOCK):
             b = min(len(h), a + BLOCK)
-            first, total = self.shares(h[a:b], w["class"])
-            share[a:b] = first[np.arange(b - a), of_class[a:b]] / total
-        for c, mine in self.by_class(of_class, len(w["word"])):  # a matrix product for each class
-            second, total = self.shares(h[mine], w["word"][c].T)
-            share[mine] *= second[np.arange(len(mine)), inside[mine]] / total
-        return np.log(np.maximum(share, np.float32(1e-37)))
+            out, total = self.shares(h[a:b], w["class"])
+            share[a:b] = out[np.arange(b - a), of_class[a:b]] / total
+        for low, high, a, b in bounds:  # a matrix product for each class
+            out, total = self.shares(h[a:b], w["word"][low:high].T)
+            share[a:b] *= out[np.arange(b - a), y[a:b] - low] / total
+        found = np.empty(len(h), np.float32)
+        found[order] = np.log(np.maximum(share, np.float32(1e-37)))
+        return found
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray, memory: dict, rate: float, fresh: np.ndarray | None = None) -> np.ndarray:
         """One window, (batch, steps): a step of gradient ascent scaled by running squares.  The state after it.
 
-        Where ``fresh`` is set a document starts, with a state of zero.  Embeddings and words of classes that don't
-        occur in the window stay as they are.
+        Where ``fresh`` is set a document starts, with a state of zero.  Embeddings that don't occur in
+        the window stay as they are.
         """
         w, (rows, steps) = self.w, inputs.shape
         if "word" not in memory:
@@ -161,29 +166,29 @@ class Model:
         s, y = every.reshape(-1, HIDDEN + 1), targets.T.ravel()
         if not whole:
             s, y = s[ok], y[ok]
-        of_class, inside = y // self.size, y % self.size
-        grad = {k: np.zeros_like(w[k]) for k in ("in", "state", "gate", "class")}
+        order, of_class, bounds = self.by_class(y)
+        ok, s, y = ok[order], s[order], y[order]
+        grad = {k: np.zeros_like(w[k]) for k in ("in", "state", "gate", "class", "word")}
         down = np.empty((len(s), HIDDEN), np.float32)
         back_class = np.ascontiguousarray(w["class"][:HIDDEN].T)
         for a in range(0, len(s), BLOCK):
             b = min(len(s), a + BLOCK)
+            # the gradient of the outputs is d * part: the narrow factors are scaled
             d, total = self.shares(s[a:b], w["class"])
-            d *= (np.float32(-1) / total)[:, None]
-            d[np.arange(b - a), of_class[a:b]] += 1
-            grad["class"] += s[a:b].T @ d
+            d[np.arange(b - a), of_class[a:b]] -= total
+            part = (np.float32(-1) / total)[:, None]
+            grad["class"] += (s[a:b] * part).T @ d
             np.matmul(d, back_class, out=down[a:b])
+            down[a:b] *= part
         weigh = np.float32(rows / max(1, len(ok)))
-        for c, mine in self.by_class(of_class, len(w["word"])):
-            own = s[mine]
-            d, total = self.shares(own, w["word"][c].T)
-            d *= (np.float32(-1) / total)[:, None]
-            d[np.arange(len(mine)), inside[mine]] += 1
-            down[mine] += d @ w["word"][c][:, :HIDDEN]
-            self.climb(w["word"][c], memory["word"][c], d.T @ own, weigh, rate)
-        back_of = down
-        if not whole:
-            back_of = np.zeros((steps * rows, HIDDEN), np.float32)
-            back_of[ok] = down
+        for low, high, a, b in bounds:
+            d, total = self.shares(s[a:b], w["word"][low:high].T)
+            d[np.arange(b - a), y[a:b] - low] -= total
+            part = (np.float32(-1) / total)[:, None]
+            down[a:b] += (d @ w["word"][low:high, :HIDDEN]) * part
+            np.matmul(d.T, s[a:b] * part, out=grad["word"][low:high])
+        back_of = (np.empty if whole else np.zeros)((steps * rows, HIDDEN), np.float32)
+        back_of[ok] = down
         back_of = back_of.reshape(steps, rows, HIDDEN)
         back = np.zeros_like(h)
         all_dx, all_da = np.empty((2, steps, rows, 3 * HIDDEN), np.float32)
@@ -228,19 +233,20 @@ class Model:
         w += grad
 
 
-def _dealt(vocabulary: list[tuple[int, int]], rare: float) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
-    """Each word's place (class * size + number) and the start biases.  Place 0 is the shared symbol."""
+def _dealt(vocabulary: list[tuple[int, int]], rare: float) -> tuple[dict[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each word's place, in order of frequency, and the classes' bounds with the start biases.  -1 is the shared symbol."""
     counts = np.array([rare, *(n for _, n in vocabulary)], np.float64)
-    n_class = max(1, round(len(counts) ** 0.5))
     order = np.argsort(-counts, kind="stable")
-    size = -(-len(counts) // n_class)
     place = np.empty(len(counts), np.int64)
-    place[order] = np.arange(len(counts))  # classes of neighbours in frequency
-    table = np.full(n_class * size, -30.0)
-    total = np.zeros(n_class)
-    np.add.at(total, place // size, counts)
-    table[place] = np.log(counts / total[place // size])
-    return {w: int(p) for (w, _), p in zip(vocabulary, place[1:], strict=True)} | {-1: int(place[0])}, np.log(np.maximum(total, 1e-9) / total.sum()), table.reshape(n_class, size)
+    place[order] = np.arange(len(counts))
+    counts = counts[order]
+    root = np.cumsum(np.sqrt(counts / counts.sum()))
+    width = root[-1] / max(1, round(root[-1]))
+    of_class = np.floor((root - root[0]) / width).astype(np.int64)  # classes that no word falls into are left out
+    of_class = np.cumsum(np.r_[0, np.diff(of_class) > 0])
+    total = np.bincount(of_class, weights=counts)
+    first = np.searchsorted(of_class, np.arange(len(total) + 1))
+    return {w: int(p) for (w, _), p in zip(vocabulary, place[1:], strict=True)} | {-1: int(place[0])}, (first, np.log(total / total.sum()), np.log(counts / total[of_class]))
 
 
 class Coder:
@@ -367,7 +373,7 @@ def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.n
     return unpacked(row["ids"], n, np.int64), unpacked(row["nulls"], n, np.uint8) > 0, sizes, np.split(unpacked(row["symbols"], row["n"], np.uint16), np.cumsum(sizes)[:-1])
 
 
-def _train_task(start: int, size: int, weights: dict, rate: float):
+def _train_task(start: int, first: np.ndarray, weights: dict, rate: float):
     """Of coded chunks by shard: the sum of the shards' weights, each weighed by its tokens."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +386,8 @@ def _train_task(start: int, size: int, weights: dict, rate: float):
         total, learnt = 0.0, 0
         rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
         for _, mine in groupby(rows, key=itemgetter("shard")):
-            model = Model(np.zeros(1), np.zeros((1, 1)))
-            model.w, model.size = {k: v.copy() for k, v in weights.items()}, size
+            model = Model(first[:2], np.zeros(1), np.zeros(1))
+            model.w, model.first = {k: v.copy() for k, v in weights.items()}, first
             n = learn(model, documents(mine), start, rate)
             if n:
                 total, learnt = total + n * np.concatenate([model.w[k].ravel() for k in sorted(model.w)]).astype(np.float64), learnt + n
@@ -419,18 +425,18 @@ def _average(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "tokens": [n], "weights": [(total / n).astype("<f4").tobytes()]})
 
 
-def train_model(coded: DataFrame, n_train: int, start: int, log_class: np.ndarray, log_word: np.ndarray, rounds: int = ROUNDS) -> Model:
+def train_model(coded: DataFrame, n_train: int, start: int, classes: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
     """Copies of the weights learn from shards of the coded chunks and are averaged.
 
     What a shard learns doesn't depend on where it runs.  A task sends the average of its shards; these meet ``FAN`` at a time, in
     as many levels as it takes until the driver gets at most ``FAN`` copies.
     """
-    model = Model(log_class, log_word)
+    model = Model(*classes)
     names = sorted(model.w)
     shards = max(1, -(-n_train // SHARD_TOKENS))
     dealt = coded.withColumn("shard", F.pmod(F.col("chunk"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "chunk")
     for k in range(rounds):
-        parts = dealt.mapInArrow(_train_task(start, model.size, model.w, RATE / (1 + k)), "part int, tokens long, weights binary")
+        parts = dealt.mapInArrow(_train_task(start, model.first, model.w, RATE / (1 + k)), "part int, tokens long, weights binary")
         most = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         while most > FAN:
             parts = parts.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(_average, "part int, tokens long, weights binary")
@@ -538,11 +544,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = n_train - sum(n for _, n in vocabulary)
     # the shared symbol's words, seen or not, smoothed as in the base score
     rare_mass = rare + 0.5 * (distinct - len(vocabulary) + 1)
-    places, log_class, log_word = _dealt(vocabulary, rare_mass)
+    places, classes = _dealt(vocabulary, rare_mass)
     coder = Coder(places)
     start = int(coder(np.array([END], np.uint64))[0])
     texts = counted.where("bucket = -1").select("chunk", "n", "n_docs", "ids", "nulls", "sizes", "ordinals")
     coded = texts.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(_code(coder, n_train, distinct, rare_mass), CODED)
     coded = spill(coded, "coded")
-    model = train_model(coded.select("chunk", "n", "n_docs", "ids", "nulls", "sizes", "symbols"), n_train, start, log_class, log_word, rounds)
+    model = train_model(coded.select("chunk", "n", "n_docs", "ids", "nulls", "sizes", "symbols"), n_train, start, classes, rounds)
     return coded.mapInArrow(_score(model, start, n_train), SCORED)

@@ -9,7 +9,8 @@ A text is read once: later steps see it as ordinals of its chunk's words, then a
 the ``VOCABULARY`` most frequent training words that occur twice or more; others share one symbol, whose words are told
 apart by their counts.  The output softmax is factored: log p(word) = log p(class) + log p(word | class).  A token costs as many
 outputs as there are classes, and as there are words in its own.  The expected sum is least for classes of neighbours in frequency with equal sums of
-the square roots of their words' shares, and as many classes as that sum over all words: frequent words have small classes.  Training is truncated backpropagation through time over windows
+the square roots of their words' shares, and as many classes as that sum over all words.  The most frequent words are classes of their own, with no
+second output to compute.  Training is truncated backpropagation through time over windows
 of ``WINDOW`` tokens, with the state carried from a document's first token to its end.  Chunks of documents are dealt over
 shards of about ``SHARD_TOKENS``, as many as the data ask for.  In every
 round a copy of the weights learns from all tokens of each shard's training documents, and the copies are averaged, weighed by
@@ -39,6 +40,8 @@ from .textkit import NULL_ID, chunked, in_order, packed, unpacked, word_hashes
 
 VOCABULARY, EMBED, HIDDEN = 32768, 16, 16
 WINDOW, SPAN, ROUNDS, RATE = 16, 16, 1, 0.02
+#: Words with at least this share of the tokens are classes of their own.
+ALONE = 0.002
 #: Rows of a batch: at least, at most, and tokens learnt for each row in between.
 FEWEST, BATCH, TOKENS_A_ROW = 512, 1024, 1024
 #: States whose class outputs are computed together: they stay in the cache.
@@ -240,10 +243,14 @@ def _dealt(vocabulary: list[tuple[int, int]], rare: float) -> tuple[dict[int, in
     place = np.empty(len(counts), np.int64)
     place[order] = np.arange(len(counts))
     counts = counts[order]
-    root = np.cumsum(np.sqrt(counts / counts.sum()))
-    width = root[-1] / max(1, round(root[-1]))
-    of_class = np.floor((root - root[0]) / width).astype(np.int64)  # classes that no word falls into are left out
-    of_class = np.cumsum(np.r_[0, np.diff(of_class) > 0])
+    share = counts / counts.sum()
+    alone = int((share >= ALONE).sum())
+    of_class = np.arange(len(counts))
+    if alone < len(counts):
+        root = np.cumsum(np.sqrt(share[alone:]))
+        width = root[-1] / max(1, round(root[-1]))
+        step = np.diff(np.floor((root - root[0]) / width)) > 0  # classes that no word falls into are left out
+        of_class[alone:] = alone + np.cumsum(np.r_[0, step])
     total = np.bincount(of_class, weights=counts)
     first = np.searchsorted(of_class, np.arange(len(total) + 1))
     return {w: int(p) for (w, _), p in zip(vocabulary, place[1:], strict=True)} | {-1: int(place[0])}, (first, np.log(total / total.sum()), np.log(counts / total[of_class]))

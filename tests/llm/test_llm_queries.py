@@ -15,6 +15,7 @@ from tidewatch.llm.near_dedup import edit_distance
 from tidewatch.llm.packing import WordIds, tokenizer_path
 from tidewatch.llm.pii import redact
 from tidewatch.llm.registry import llm_oracle_sql, llm_queries
+from tidewatch.llm.segment_sampling import decoded
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -149,6 +150,14 @@ def test_op1_and_op3_cover_the_table(spark, table):
     assert len({(r["doc_id"], r["ids_crc32"], r["n_pieces"]) for r in got}) == len(got)
 
 
+def test_op3_returns_segmentations_that_decode(spark, table):
+    out = llm_queries()["op3_gumbel_segmentation"](spark, DATA)
+    got = {(r["doc_id"], r["rank"]): r for r in out.collect()}
+    back = decoded(out).collect()
+    assert len(back) == len(got) and all(r["text"] == table[r["doc_id"]][0] for r in back)
+    assert all(len(r["ids"]) == r["n_pieces"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and r["decodes"] for r in got.values())
+
+
 def test_pipeline(spark, table):
     norm = defaultdict(list)
     for i, (t, _) in table.items():

@@ -369,6 +369,40 @@ def test_segmentations_follow_their_distribution(text):
         assert abs(both[s] / 8000 - inclusion) < 0.03
 
 
+@pytest.mark.parametrize("text", ["x();\r\n */\r", "{\r\r\n"])
+def test_segmentations_with_carriage_returns(text):
+    """Pieces that end in a carriage return are edges, as all other pieces are."""
+    pieces = seg.worker_pieces()
+    marked = text.replace(" ", seg.SPACE)
+    every = {marked[a:b] for a in range(len(marked)) for b in range(a + 1, len(marked) + 1)} & set(pieces.text.values())
+    found = seg.sample_segmentations([text], np.arange(1), pieces, 3000)
+    assert {pieces.text[i] for f in found for i in f[5].tolist() if i in pieces.text} == every and any(len(t) > 1 and t[-1] == "\r" for t in every)
+    assert all(pieces.decode(f[5].tolist()) == text for f in found)
+
+
+@pytest.mark.parametrize("negligible", [0.0, 0.7, 1.5])
+def test_segmentations_are_exact_below_negligible_prefixes(monkeypatch, negligible):
+    """However early plain sampling takes over, no segmentation is lost, and samples, values and thresholds keep their distribution."""
+    pieces = seg.worker_pieces()
+    texts, keys = ["the re"] * 4000, np.arange(4000)
+    whole = seg.sample_segmentations(texts, keys, pieces, 2)
+    everything = [{tuple(f[5].tolist()): f[2] for f in seg.sample_segmentations([t], np.arange(1), pieces, 200)} for t in ("the re", "a  b")]
+    monkeypatch.setattr(seg, "NEGLIGIBLE", negligible)
+    for t, want in zip(("the re", "a  b"), everything, strict=True):
+        found = seg.sample_segmentations([t], np.arange(1), pieces, 200)
+        assert {tuple(f[5].tolist()) for f in found} == set(want) and len(found) == len(want)
+        assert all(abs(f[2] - want[tuple(f[5].tolist())]) < 1e-4 for f in found) and all(f[4] == 0 for f in found)
+        assert [f[1] for f in found] == list(range(len(found))) and all(a[3] > b[3] for a, b in zip(found, found[1:], strict=False))
+    early = seg.sample_segmentations(texts, keys, pieces, 2)
+    assert [f[:2] for f in early] == [(i, r) for i in range(4000) for r in range(2)]
+    for rank in (0, 1):
+        shares = [Counter(tuple(f[5]) for f in x if f[1] == rank) for x in (whole, early)]
+        assert all(abs(shares[0][s] - shares[1][s]) < 200 for s in shares[0] | shares[1])
+        for column in (3, 4):
+            a, b = (np.sort([f[column] for f in x if f[1] == rank]) for x in (whole, early))
+            assert np.abs(np.searchsorted(a, b) / 4000 - np.arange(4000) / 4000).max() < 0.04  # Kolmogorov and Smirnov, p of about 0.003
+
+
 def test_empty_tables(no_docs):
     assert pii_digest(no_docs).count() == 0
     assert redact(no_docs).count() == 0

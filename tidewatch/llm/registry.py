@@ -29,7 +29,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentations(read_table(spark, sf_dir, "documents"), with_ids=False)
+    return segmentations(read_table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

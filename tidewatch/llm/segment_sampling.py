@@ -1,8 +1,8 @@
 """Sampled segmentations of whole texts over a public piece vocabulary, without replacement.
 
 *Lattice.*  A text is a sequence of units: a run of spaces with the characters other than
-white space after it, a run of spaces without, or one other white-space character.  Pieces of several spaces
-lie within a unit.  A unit's lattice has an edge for every piece of
+white space (but for carriage returns) after it, a run of spaces without, or one other white-space character.  Every piece of
+the vocabulary lies within a unit, those of several spaces and those that end in a carriage return too.  A unit's lattice has an edge for every piece of
 the vocabulary (space written as U+2581); a character that is no piece is one edge, of its bytes' pieces.
 A piece's log-probability follows Zipf's law in its rank, as the vocabulary's merge ranks aren't probabilities.
 Sums over all suffix paths of a unit (computed once for a distinct unit of a chunk) turn edge weights into probabilities
@@ -13,9 +13,10 @@ largest are a sample without replacement.  A perturbed A* search finds them top
 prefix's bound is the largest perturbed value below it, which its best child inherits, while
 other children get theirs conditional on that; the prefix with the best bound is expanded next,
 and only the k + 1 best prefixes can matter.  All documents of a chunk take their steps together, in
-numpy.  Below a prefix whose probability is under ``exp(-NEGLIGIBLE)`` a second segmentation
-could enter the sample only with a probability of about 1e-13, so
-the prefix is completed by plain sampling.
+numpy.  Below a prefix whose probability is under ``exp(-NEGLIGIBLE)`` the best segmentation is drawn by plain sampling, which is
+its distribution, and the value of the second best given that: a Gumbel value of the prefix's other segmentations, under
+the best one's.  Where it is among the k + 1 largest (about once in 1e13 prefixes) that segmentation is drawn too, and so on: the sample is exact for
+any ``NEGLIGIBLE``.
 
 *Inclusion.*  The (k+1)st value is the threshold t; a segmentation's log-inclusion score is
 log(1 - exp(-exp(log_prob - t))), 0 if the text has at most k segmentations.
@@ -27,10 +28,12 @@ Decoding joins the pieces and gives back the text exactly.  Other columns are ig
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ PART_CHARS = 3 << 20
 #: Characters of distinct units whose lattices a task keeps, at about 60 bytes each.
 MOST_PLACES = 2 << 20
 SPACE = "▁"
-_UNIT = re.compile(r"[ ]*[^\s]+|[ ]+|\s")
+_UNIT = re.compile(r"[ ]*[\S\r]+|[ ]+|\s")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -366,32 +369,117 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, pieces: Pieces, k:
     some = np.flatnonzero(np.diff(bounds))
     if len(some):
         added[some] = np.add.reduceat(lattice.edge_log[edges].astype(np.float64), bounds[some])
-    first_of, offset_of, piece_of, span_of, end_of = (memoryview(x) for x in (lattice.first, lattice.offset, lattice.piece, lattice.span, lattice.end))
-    out = []
+    first_of, offset_of, span_of, end_of = (memoryview(x) for x in (lattice.first, lattice.offset, lattice.span, lattice.end))
+    out: list[tuple] = []
     exact = bound[np.arange(len(bound)), order[:, min(k, order.shape[1] - 1)]]
+    # values of the second best segmentations below the prefixes
+    second = _next_value(prob[rows, node], -np.expm1(np.minimum(added, 0.0)), bound[rows, node], _uniform(key[rows] + (ranks.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)))
+    again = {int(i): [] for i in rows[(rest > 0) & (second > exact[rows])]}
     for s, (i, rank) in enumerate(zip(rows.tolist(), ranks.tolist(), strict=True)):
         # the prefix's edges, walked again
-        head, head_codes, q, v = [], [], -1, 0
+        head, q, v = [], -1, 0
         for edge in path[i, node[s], : depth[i, node[s]]].tolist():
             if q < 0:
                 q = first_of[unit[begin[i] + v]]
             e = offset_of[q] + edge - 1
-            head.append(piece_of[e])
-            head_codes.append(q)
+            head.append(e)
             q += span_of[e]
             if q == end_of[q - 1]:
                 q, v = -1, v + 1
-        mine = np.concatenate([np.array(head, np.int32), ids[bounds[s] : bounds[s + 1]]])
-        if (mine == -2).any():
-            own = np.searchsorted(lattice.offset, edges[bounds[s] : bounds[s + 1]], side="right") - 1
-            chars = lattice.code[head_codes].tolist() + lattice.code[own].tolist()
-            mine = np.array([x for j, c in zip(mine.tolist(), chars, strict=True) for x in ([pieces.byte_id[b] for b in chr(c).encode()] if j == -2 else [j])], np.int32)
+        taken_edges = np.concatenate([np.array(head, np.int64), edges[bounds[s] : bounds[s + 1]]])
+        mine = _ids(lattice, pieces, taken_edges)
         log_prob = float(prob[i, node[s]] + added[s])
-        threshold = exact[i]
-        x = log_prob - threshold
-        inclusion = 0.0 if np.isneginf(threshold) else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 30.0)))))
-        out.append((i, rank, log_prob, float(bound[i, node[s]]), inclusion, mine))
-    return out
+        if i in again:
+            more = None if not rest[s] else Below(lattice, unit[begin[i] + u[s] : begin[i] + count[i]], int(place[i, node[s]]), float(prob[i, node[s]]), head, [edges[bounds[s] : bounds[s + 1]].tolist()], float(second[s]), int(key[i]) + rank)
+            again[i].append((float(bound[i, node[s]]), log_prob, mine, more))
+        else:
+            out.append((i, rank, log_prob, float(bound[i, node[s]]), _inclusion(log_prob, exact[i]), mine))
+    for i, found in again.items():
+        found, threshold = _with_others(found, float(exact[i]), k, pieces)
+        out += [(i, rank, log_prob, value, _inclusion(log_prob, threshold), mine) for rank, (value, log_prob, mine) in enumerate(found)]
+    return sorted(out, key=itemgetter(0, 1)) if again else out
+
+
+def _inclusion(log_prob: float, threshold: float) -> float:
+    x = log_prob - threshold
+    return 0.0 if np.isneginf(threshold) else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 30.0)))))
+
+
+def _ids(lattice: Lattices, pieces: Pieces, edges: np.ndarray) -> np.ndarray:
+    """Piece ids along a path of edges."""
+    ids = lattice.piece[edges]
+    if (ids == -2).any():
+        chars = lattice.code[np.searchsorted(lattice.offset, edges, side="right") - 1]
+        ids = np.array([x for j, c in zip(ids.tolist(), chars.tolist(), strict=True) for x in ([pieces.byte_id[b] for b in chr(c).encode()] if j == -2 else [j])], np.int32)
+    return ids
+
+
+def _next_value(log_prob: np.ndarray, left: np.ndarray, top: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The largest perturbed value of the share ``left`` of a prefix's segmentations, given that it is under ``top``; ``r``: uniform noise."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        value = -np.logaddexp(-top, np.log(-np.log(r)) - log_prob - np.log(np.maximum(left, 0.0)))
+    return np.where(left > 0, value, -np.inf)
+
+
+class Below:
+    """The segmentations below a prefix that are not drawn yet, and the largest perturbed value among them."""
+
+    def __init__(self, lattice: Lattices, units: np.ndarray, place: int, log_prob: float, head: list[int], drawn: list[list[int]], value: float, seed: int):
+        self.lattice, self.place, self.log_prob, self.head, self.value = lattice, place, log_prob, head, value
+        self.firsts, self.drawn, self.rng = lattice.first[units].tolist(), {tuple(x) for x in drawn}, np.random.default_rng(seed % 2**64)
+        if len(self.drawn) == self.ways():
+            self.value = -np.inf
+
+    def ways(self) -> int:
+        """How many segmentations there are below the prefix."""
+        total = 1
+        for place in (self.place, *self.firsts[1:]):
+            end = int(self.lattice.end[place])
+            to_end = {end: 1}
+            for p in range(end - 1, place - 1, -1):
+                e = int(self.lattice.offset[p])
+                to_end[p] = sum(to_end[p + int(n)] for n in self.lattice.span[e : e + int(self.lattice.n_edges[p])])
+            total *= to_end[place]
+        return total
+
+    def draw(self) -> tuple[float, float, list[int]]:
+        """The next segmentation: its value, its log-probability and its edges; the value of the one after it is drawn, too."""
+        while True:
+            edges = []
+            for place in (self.place, *self.firsts[1:]):
+                p, end = place, int(self.lattice.end[place])
+                while p < end:
+                    e, n = int(self.lattice.offset[p]), int(self.lattice.n_edges[p])
+                    e += min(n - 1, int(np.searchsorted(self.lattice.cumulative[e : e + n], self.rng.random(), side="right")))
+                    edges.append(e)
+                    p += int(self.lattice.span[e])
+            if tuple(edges) not in self.drawn:
+                break
+        value = self.value
+        self.drawn.add(tuple(edges))
+        left = 1.0 - sum(math.exp(self._log(x)) for x in self.drawn)
+        self.value = -math.inf if len(self.drawn) == self.ways() else float(_next_value(self.log_prob, max(left, 1e-12), value, self.rng.random()))
+        return value, self.log_prob + self._log(edges), [*self.head, *edges]
+
+    def _log(self, edges: Iterable[int]) -> float:
+        return float(self.lattice.edge_log[list(edges)].astype(np.float64).sum())
+
+
+def _with_others(found: list[tuple], threshold: float, k: int, pieces: Pieces) -> tuple[list[tuple], float]:
+    """The k best segmentations and the (k+1)st value of those ``found`` (value, log_prob, ids, what else is below the prefix) and all below their prefixes."""
+    done = [f[:3] for f in found]
+    below = [f[3] for f in found if f[3] is not None]
+    while below:
+        best = max(below, key=lambda x: x.value)
+        if np.isneginf(best.value) or sum(f[0] > best.value for f in done) + (threshold > best.value) > k:
+            break
+        if sum(f[0] > best.value for f in done) + (threshold > best.value) == k:
+            threshold = best.value  # only its value counts
+            break
+        value, log_prob, edges = best.draw()
+        done.append((value, log_prob, _ids(best.lattice, pieces, np.array(edges, np.int64))))
+    done.sort(key=itemgetter(0), reverse=True)
+    return done[:k], max([threshold, *(f[0] for f in done[k:])])
 
 
 _loaded: dict[str, Pieces] = {}
@@ -442,7 +530,8 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     "decodes": pa.array([np.array_equal(pieces.decoded_bytes(f[5]), own_bytes[f[0]]) for f in found], pa.bool_()),
                 }
                 if with_ids:
-                    columns["ids"] = pa.array([f[5] for f in found], pa.list_(pa.int32()))
+                    ends = np.cumsum([0, *(len(f[5]) for f in found)])
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[5] for f in found]), pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, rank int, log_prob double, perturbed double, log_inclusion double, n_pieces long, ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids

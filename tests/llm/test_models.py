@@ -252,6 +252,54 @@ def test_gradient_by_finite_differences(monkeypatch):
             assert abs((up - down) / 2e-5 - slope[at]) < 1e-3 * max(1, abs(slope[at])), name
 
 
+def test_long_documents_cost_few_steps(monkeypatch):
+    """Documents much longer than others don't leave many windows of a few rows, whose every step costs whole matrices."""
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, 12, n), 0) for n in [*([40] * 1000), *([4000] * 3)]]
+    sizes = []
+
+    def train(self, inputs, targets, valid, h, memory, rate, fresh):
+        sizes.append(int(valid.sum()))
+        return h
+
+    monkeypatch.setattr(Model, "train", train)
+    model = Model(np.array([0, 4, 8, 12]), np.log(np.full(3, 1 / 3)), np.log(np.full(12, 0.25)))
+    assert learn(model, iter(docs), 0, 0.02) == sum(sizes) == sum(map(len, docs))
+    assert len(sizes) < 40
+
+
+def test_gradient_of_embeddings_by_finite_differences(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = Model(np.array([0, 4, 8, 12]), np.log(np.full(3, 1 / 3)), np.log(np.full(12, 0.25)))
+    model.w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in model.w.items()}
+    inputs, targets = rng.integers(0, 9, (2, 5, 7))  # some symbols don't occur
+
+    def total():
+        h, out, x = np.zeros((5, 16)), 0.0, model.w["embed"] @ model.w["in"] + model.w["gate"]
+        for t in range(7):
+            h = model.step(model.w, x[inputs[:, t]], h)
+            for i in range(5):
+                s, (c, k) = np.append(h[i], 1), divmod(int(targets[i, t]), 4)
+                a, b = s @ model.w["class"], model.w["word"][4 * c : 4 * c + 4] @ s
+                out += a[c] - np.log(np.exp(a).sum()) + b[k] - np.log(np.exp(b).sum())
+        return out
+
+    slopes = []
+    monkeypatch.setattr(Model, "climb", staticmethod(lambda w, memory, grad, weigh, rate: slopes.append(grad.copy())))
+    model.train(inputs, targets, np.ones((5, 7), bool), np.zeros((5, 16)), {}, 0.1)
+    seen = np.unique(inputs)
+    assert slopes[0].shape == (len(seen), 16)
+    for row, symbol in enumerate(seen.tolist()):
+        for column in (0, 7, 15):
+            was = model.w["embed"][symbol, column]
+            model.w["embed"][symbol, column] = was + 1e-5
+            up = total()
+            model.w["embed"][symbol, column] = was - 1e-5
+            down = total()
+            model.w["embed"][symbol, column] = was
+            assert abs((up - down) / 2e-5 - slopes[0][row, column]) < 1e-3
+
+
 def test_scores_do_not_depend_on_partitions(docs):
     one, many = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in score_documents(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-3 * abs(one[k]) for k in one)

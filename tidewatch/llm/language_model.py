@@ -10,10 +10,11 @@ the ``VOCABULARY`` most frequent training words that occur twice or more; others
 apart by their counts.  The output softmax is factored: log p(word) = log p(class) + log p(word | class).  A token costs as many
 outputs as there are classes, and as there are words in its own.  The expected sum is least for classes of neighbours in frequency with equal sums of
 the square roots of their words' shares, and as many classes as that sum over all words: frequent words have small classes.  Training is truncated backpropagation through time over windows
-of ``WINDOW`` tokens, with the state carried from a document's first token to its end.  Chunks of documents are dealt over
+of ``WINDOW`` tokens or more, with the state carried from a document's first token to its end.  Chunks of documents are dealt over
 shards of about ``SHARD_TOKENS``, as many as the data ask for.  In every
 round a copy of the weights learns from all tokens of each shard's training documents, and the copies are averaged, weighed by
-their tokens, so scores don't depend (but for rounding) on how Spark partitions.  Documents lie one after the other in the rows of a batch, which gets more rows as a task goes on.
+their tokens, so scores don't depend (but for rounding) on how Spark partitions.  Documents lie one after the other in the rows of a batch, the longest of a shard first; it
+gets more rows as a task goes on, and longer windows where few rows are left.
 Scoring carries the state over the whole document.
 
 Null texts count as empty (one token, the end).  Repeated ids give a row each.  Without training
@@ -43,10 +44,13 @@ WINDOW, SPAN, ROUNDS, RATE = 16, 16, 1, 0.02
 FEWEST, BATCH, TOKENS_A_ROW = 512, 1024, 1024
 #: States whose class outputs are computed together: they stay in the cache.
 BLOCK = 1024
+#: States of texts that are scored together: each class's are one matrix product.
+PENDING = 1 << 16
 #: Training tokens that one copy of the weights learns from, about; copies that are averaged at once.
-SHARD_TOKENS, FAN = 1 << 20, 16
+SHARD_TOKENS, FAN = 1 << 22, 16
 #: Text bytes for each bucket of words.
 BUCKET_BYTES = 27 << 20
+ONES = np.ones(VOCABULARY, np.float32)
 END = 0x5EED5EED5EED5EED
 #: Bytes A-Z to a-z.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -97,21 +101,27 @@ class Model:
         """One step of the gated unit; ``x``: the tokens' rows of embed @ in + gate."""
         a = h @ w["state"]
         zr = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
-        np.exp(-zr, out=zr)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+        c = r * a[:, 2 * HIDDEN :]
+        c += x[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
         if keep is not None:
             keep.append((h, z, r, c, a[:, 2 * HIDDEN :]))
-        return h + z * (c - h)
+        after = c - h
+        after *= z
+        after += h
+        return after
 
     @staticmethod
     def shares(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the states' outputs (the states' last column is 1, for the bias), and their sums."""
         out = h @ weights
         np.exp(out, out=out)
-        return out, out @ np.ones(out.shape[1], np.float32)
+        return out, out @ ONES[: out.shape[1]]
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
         """An order of the targets by class, their classes in that order, and for each class of several words that occurs:
@@ -148,8 +158,12 @@ class Model:
         w, (rows, steps) = self.w, inputs.shape
         if "word" not in memory:
             memory |= {k: np.zeros(v.shape[:-1], np.float32) for k, v in w.items()}
-        seen, at = np.unique(inputs.T, return_inverse=True)
-        at = at.ravel()
+        x = inputs.T.ravel()
+        by = np.argsort(x.astype(np.uint16) if len(w["embed"]) <= 1 << 16 else x, kind="stable")
+        x = x[by]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])  # of each symbol's places in that order
+        seen, at = x[first], np.empty(len(x), np.int64)
+        at[by] = np.repeat(np.arange(len(seen)), np.diff(np.r_[first, len(x)]))
         embedded = w["embed"][seen]
         projected = (embedded @ w["in"] + w["gate"])[at].reshape(steps, rows, -1)
         kept: list[tuple] = []
@@ -181,12 +195,16 @@ class Model:
             np.matmul(d, back_class, out=down[a:b])
             down[a:b] *= part
         weigh = np.float32(rows / max(1, len(ok)))
+        # likewise, with what is scaled in arrays for all classes
+        own, scaled, parts, nth = np.zeros_like(down), np.empty_like(s), np.zeros((len(s), 1), np.float32), np.arange(len(s))
         for low, high, a, b in bounds:
             d, total = self.shares(s[a:b], w["word"][low:high].T)
-            d[np.arange(b - a), y[a:b] - low] -= total
-            part = (np.float32(-1) / total)[:, None]
-            down[a:b] += (d @ w["word"][low:high, :HIDDEN]) * part
-            np.matmul(d.T, s[a:b] * part, out=grad["word"][low:high])
+            d[nth[: b - a], y[a:b] - low] -= total
+            part = np.divide(np.float32(-1), total[:, None], out=parts[a:b])
+            np.matmul(d, w["word"][low:high, :HIDDEN], out=own[a:b])
+            np.matmul(d.T, np.multiply(s[a:b], part, out=scaled[a:b]), out=grad["word"][low:high])
+        own *= parts
+        down += own
         back_of = (np.empty if whole else np.zeros)((steps * rows, HIDDEN), np.float32)
         back_of[ok] = down
         back_of = back_of.reshape(steps, rows, HIDDEN)
@@ -211,13 +229,12 @@ class Model:
                 back *= going[t]
         before = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
         grad["state"] = before.T @ all_da.reshape(-1, 3 * HIDDEN)
-        by = np.argsort(at.astype(np.uint16) if len(seen) < 1 << 16 else at, kind="stable")
-        first = np.searchsorted(at[by], np.arange(len(seen)))
-        dx = np.add.reduceat(all_dx.reshape(-1, 3 * HIDDEN)[by], first)  # by symbol
-        grad["gate"] = dx.sum(0, keepdims=True)
-        grad["in"] = embedded.T @ dx
+        dx = all_dx.reshape(-1, 3 * HIDDEN)
+        grad["gate"] = np.ones((1, len(dx)), np.float32) @ dx
+        grad["in"] = embedded[at].T @ dx
         squares = memory["embed"][seen]
-        self.climb(embedded, squares, dx @ w["in"].T, weigh, rate)
+        # by symbol, in the narrower of the two spaces
+        self.climb(embedded, squares, np.add.reduceat((dx @ w["in"].T)[by], first), weigh, rate)
         w["embed"][seen], memory["embed"][seen] = embedded, squares
         for k, g in grad.items():
             self.climb(w[k], memory[k], g, weigh, rate)
@@ -381,7 +398,7 @@ def _train_task(start: int, first: np.ndarray, weights: dict, rate: float):
             for row in rows:
                 ids, nulls, _, texts = _documents(row)
                 for i in np.flatnonzero(~held_out(ids, nulls)).tolist():
-                    yield texts[i].astype(np.int64)
+                    yield texts[i]
 
         total, learnt = 0.0, 0
         rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
@@ -398,8 +415,11 @@ def _train_task(start: int, first: np.ndarray, weights: dict, rate: float):
 
 
 def learn(model: Model, documents: Iterator[np.ndarray], start: int, rate: float) -> int:
-    """Train on every token of ``documents`` (symbols, an end last).  How many there were."""
-    rows, memory, learnt, most = Rows(documents, start), {}, 0, 0
+    """Train on every token of ``documents`` (symbols, an end last).  How many there were.
+
+    The longest come first, so that the rows end at about the same time.
+    """
+    rows, memory, learnt, most = Rows(iter(sorted(documents, key=len, reverse=True)), start), {}, 0, 0
     h = np.zeros((0, HIDDEN), np.float32)
     while True:
         rows.fill(min(BATCH, max(FEWEST, learnt // TOKENS_A_ROW)), SPAN * WINDOW)
@@ -407,8 +427,10 @@ def learn(model: Model, documents: Iterator[np.ndarray], start: int, rate: float
         if not len(h):
             return learnt
         most = max(most, len(h))
-        for k in range(0, SPAN * WINDOW, WINDOW):
-            at = slice(k, k + WINDOW)
+        # where few rows are left, windows are longer: a step costs the whole matrices, however few its tokens are
+        window = WINDOW * min(SPAN, max(1, FEWEST // len(h)))
+        for k in range(0, SPAN * WINDOW, window):
+            at = slice(k, k + window)
             n = int(valid[:, at].sum())
             if not n:
                 break
@@ -484,7 +506,7 @@ def score_chunk(model: Model, symbols: np.ndarray, n: np.ndarray, start: int) ->
         symbol = symbols[first[order[:m]] + t]
         held.append((h, symbol, m))
         pending += m
-        if pending >= 1 << 15:
+        if pending >= PENDING:
             settle()
     settle()
     out[order] += total

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,3 +459,19 @@ def test_empty_tables(no_docs):
     assert language_digest(no_docs).count() == 0
     assert score_documents(no_docs).count() == 0
     assert seg.segmentations(no_docs).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from tidewatch.llm import common, langid, near_dedup
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    frame = spark.range(400).selectExpr("id doc_id", "repeat('ab cd ', 10000) text", "'en' lang").coalesce(1)
+    for job in (lambda d: langid.guesses(d, F.lit(True)), near_dedup.sketched, tokenised):
+        spark.conf.unset(key)
+        job(frame)
+        sizes = frame.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in sizes) > 24_000_000 and max(r["n"] for r in sizes) < 2 * common.BATCH_BYTES
+    spark.conf.set(key, "9000000")
+    tokenised(frame)
+    assert spark.conf.get(key) == "9000000"
+    spark.conf.unset(key)

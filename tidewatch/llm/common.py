@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows on its way to Python, about.
+BATCH_BYTES = 4 << 20
 #: The white space that separates words everywhere in this subpackage: [\x20\x09-\x0D].
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -48,6 +50,17 @@ def spill(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts go to Python in batches of ``BATCH_BYTES``, unless the session has a limit of its own.
+
+    Spark's batches have ten thousand rows: of whole texts tens of MB, held several times by the JVM and by each Python worker.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts, in one pass over their column.  (The optimizer's estimate is far off for all but plain scans.)"""
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 BUCKETS = 1 << 16
 MAX_TRAIN = 200_000
 ORDERS = (1, 2, 3)
@@ -163,7 +165,7 @@ def guesses(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     Learns, at once, from the rows where ``training`` holds and ``lang_col`` isn't null.  Only texts go to Python and only the answers
     come back; Spark keeps the other columns meanwhile.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     n, n_langs = labelled.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
     if n > max_train:  # a bounded sample, the same in every run

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill, text_or_empty, without
+from .common import in_small_batches, spill, text_or_empty, without
 from .components import connected
 from .textkit import mix, ranges, runs_hash, word_hashes
 
@@ -338,7 +338,7 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key (hash of the text), text as bytes.  Id and text key together name a row."""
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
 
 
 def _row_key() -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill, text_or_empty
+from .common import in_small_batches, spill, text_or_empty
 
 CAPACITY, END_ID = 4096, 1
 SHARD_PIECES = 40_000
@@ -153,7 +153,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             gc.enable()
 
     kinds = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "ids": "array<int>"}
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return source.mapInArrow(encode, ", ".join(f"{f.name} {kinds[f.name]}" for f in fields))
 
 

@@ -475,3 +475,13 @@ def test_texts_go_to_python_in_small_batches(spark):
     tokenised(frame)
     assert spark.conf.get(key) == "9000000"
     spark.conf.unset(key)
+
+
+def test_each_piece_is_encoded_once():
+    known, asked = WordIds(tokenizer_path()), []
+    merge = known.merge
+    known.merge = lambda piece: asked.append(piece) or merge(piece)
+    texts = ["one, two; ½ One", "", "one. two! onE <|x été x", "Été"]
+    got = known.encode_all([t.encode() for t in texts])
+    assert sorted(asked) == sorted({*asked}) and {"one", "two"} < {*asked}
+    assert [x.tolist() for x in got] == [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -19,8 +19,8 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, spill, text_or_empty
+from .textkit import Numbers, parts, ranges
 
 CAPACITY, END_ID = 4096, 1
 SHARD_PIECES = 40_000
 LOOSE_FILL = 0.98
 #: Words whose ids a task keeps, at about 200 bytes each, and parts of words.
 CACHE_WORDS, CACHE_PIECES = 300_000, 50_000
+#: Text bytes whose words are looked up together.
+TOGETHER_BYTES = 1 << 18
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -46,19 +49,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower() == chr(c))
-#: The vocabulary's pre-tokeniser for lower-case words of the Latin blocks.
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: The vocabulary's pre-tokeniser for lower-case words of the Latin blocks, a line break after each.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\n]+|\n")
 #: Letters whose lower case lies beyond those blocks, so that the pre-tokeniser above wouldn't know it.
 _BEYOND = "".join(chr(c) for c in range(0x250) if any(ord(x) >= 0x250 for x in chr(c).lower()))
-#: Words with anything else go to the tokeniser itself.
-_SIMPLE = re.compile(rf"(?!.*<\|)(?!.*[\x00-\x20\x7F-\xA0\u00B2\u00B3\u00B9\u00BC-\u00BE\u0130{_BEYOND}])[\x21-\u024F]+", re.S)
+#: Words with any of these go to the tokeniser itself.
+_ODD = re.compile(rf"[^\n\x21-\u024F]|[\x7F-\xA0\u00B2\u00B3\u00B9\u00BC-\u00BE\u0130{_BEYOND}]|<\|")
 
 
-class WordIds(dict):
-    """Token ids by white-space word: word -> its number; ``encode`` gives a text's ids.
+class WordIds(Numbers):
+    """Token ids by white-space word: word -> its number; ``encode_all`` gives texts' ids.
 
     The vocabulary's pre-tokeniser never spans white space, so a text's ids are its words'
-    ids in order, and each distinct word (and each distinct piece of it) is encoded once.
+    ids in order.  The distinct words that some texts bring along are cut into pieces together, and each distinct piece is encoded once.
     """
 
     def __init__(self, path: str):
@@ -72,43 +75,63 @@ class WordIds(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.flat, self.start, self.length = array("I"), array("q"), array("q")
-
-    def _ids(self, word: str) -> list[int]:
-        if not (word.isascii() and word.isalpha()):
-            if not _SIMPLE.fullmatch(word):
-                return self.tokenizer.encode(word, add_special_tokens=False).ids
-            out: list[int] = []
-            for piece in _PIECE.findall(word.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    if len(self.pieces) >= CACHE_PIECES:
-                        self.pieces.clear()
-                    text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                    ids = self.pieces[piece] = [t.id for t in self.merge(text)]
-                out += ids
-            return out
-        return [t.id for t in self.merge(word.lower())]
-
-    def __missing__(self, word: bytes) -> int:
-        ids, n = self._ids(word.decode()), len(self)
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        self[word] = n
-        return n
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()  # on [\x20\x09-\x0D]
-        if not words:
-            return np.empty(0, np.uint32)
+        self.fresh = []
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._reset_pieces()
+
+    def _reset_pieces(self) -> None:
+        self.pieces = Numbers()
+        self.piece_flat, self.piece_start, self.piece_length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _merged(self, piece: str) -> list[int]:
+        if piece == "\n":
+            return []
+        return [t.id for t in self.merge(piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode())))]
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of simple words, one after the other, and how many each has."""
+        if len(self.pieces) > CACHE_PIECES:
+            self._reset_pieces()
+        found = _PIECE.findall("\n".join([*words, ""]).lower())
+        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        new = list(map(self._merged, self.pieces.taken()))
+        length = np.fromiter(map(len, new), np.int64, len(new))
+        flat, start = np.fromiter(chain.from_iterable(new), np.uint32, int(length.sum())), np.cumsum(length) - length + len(self.piece_flat)
+        self.piece_flat, self.piece_start, self.piece_length = np.append(self.piece_flat, flat), np.append(self.piece_start, start), np.append(self.piece_length, length)
+        size = self.piece_length[at]
+        ends = np.cumsum(size)[at == self.pieces["\n"]]
+        return self.piece_flat[ranges(self.piece_start[at], size)], np.diff(ends, prepend=0)
+
+    def _learn(self, words: list[bytes]) -> None:
+        text = b"\n".join(words).decode()
+        lines = text.split("\n")
+        odd = [i for i, w in enumerate(lines) if _ODD.search(w)] if _ODD.search(text) else []
+        whole = [self.tokenizer.encode(lines[i], add_special_tokens=False).ids for i in odd]
+        flat, size = np.array(list(chain.from_iterable(whole)), np.uint32), np.array([len(x) for x in whole], np.int64)
+        starts, lengths = np.empty(len(lines), np.int64), np.empty(len(lines), np.int64)
+        starts[odd], lengths[odd] = np.cumsum(size) - size + len(self.flat), size
+        if len(odd) < len(lines):
+            simple = np.ones(len(lines), bool)
+            simple[odd] = False
+            ids, size = self._cut([lines[i] for i in np.flatnonzero(simple).tolist()] if odd else lines)
+            starts[simple], lengths[simple] = np.cumsum(size) - size + len(self.flat) + len(flat), size
+            flat = np.append(flat, ids)
+        self.flat, self.start, self.length = np.append(self.flat, flat), np.append(self.start, starts), np.append(self.length, lengths)
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self) > CACHE_WORDS:
             self.reset()
+        split = [t.split() for t in texts]  # on [\x20\x09-\x0D]
+        words = list(chain.from_iterable(split))
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        size = np.frombuffer(self.length, np.int64)[at]
-        ends = np.cumsum(size)
-        return np.frombuffer(self.flat, np.uint32)[np.arange(ends[-1]) + np.repeat(np.frombuffer(self.start, np.int64)[at] - ends + size, size)]
+        if self.fresh:
+            self._learn(self.taken())
+        size = self.length[at]
+        ids, ends = self.flat[ranges(self.start[at], size)], np.append(0, np.cumsum(size))
+        return np.split(ids, ends[np.cumsum([len(x) for x in split])][:-1])
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -141,11 +164,13 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         try:
             for batch in batches:
                 rows: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = np.append(known.encode(text.as_buffer().to_pybytes()), np.uint32(END_ID)).astype("<u4")
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                all_docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in parts(texts, TOGETHER_BYTES):
+                    for doc, found in zip(all_docs[a:b], known.encode_all(texts[a:b]), strict=True):
+                        ids = np.append(found, np.uint32(END_ID)).astype("<u4")
+                        for k, at in enumerate(range(0, len(ids), capacity)):
+                            part = ids[at : at + capacity]
+                            rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
                 columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=out_schema)
         finally:  # the worker goes on to other tasks

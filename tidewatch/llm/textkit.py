@@ -9,6 +9,8 @@ few packed rows for each pair of chunk and bucket instead of a row for each key,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Numbers(dict):
+    """Consecutive numbers for new keys; ``taken`` gives the keys that are new since it was called last."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str | bytes] = []
+
+    def __missing__(self, key: str | bytes) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+    def taken(self) -> list[str | bytes]:
+        out, self.fresh = self.fresh, []
+        return out
+
+
+def parts(texts: list, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters or bytes."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts as one array, a space after each, and where each starts (one more at the end)."""
     starts = np.zeros(len(texts) + 1, np.int64)

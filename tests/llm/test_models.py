@@ -485,3 +485,13 @@ def test_each_piece_is_encoded_once():
     got = known.encode_all([t.encode() for t in texts])
     assert sorted(asked) == sorted({*asked}) and {"one", "two"} < {*asked}
     assert [x.tolist() for x in got] == [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_lattices_ask_only_for_what_pieces_begin_with(monkeypatch):
+    pieces, asked = seg.worker_pieces(), []
+    begun = {t[:n] for t in (pieces.text[i].replace(seg.SPACE, " ") for i in set(pieces.slot_id.tolist()) if i >= 0) for n in range(1, len(t) + 1)}
+    monkeypatch.setattr(seg.Pieces, "find", lambda self, h, find=seg.Pieces.find: asked.append(len(h)) or find(self, h))
+    text = "qzxwvqkjzxqwpvbnm" * 20
+    seg._lattices([text], pieces)
+    want = sum(n == 1 or text[i : i + n - 1] in begun for i in range(len(text)) for n in range(1, min(seg.LONGEST, len(text) - i) + 1))
+    assert sum(asked) == want < 5 * len(text)

@@ -32,7 +32,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -41,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .textkit import NULL_ID, mix, ranges
+from .textkit import NULL_ID, Numbers, mix, ranges
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES, LONGEST, NEGLIGIBLE = 2, 16, 32.0
 #: Piece log-probabilities are multiplied by this (subword regularisation's alpha): the lower, the more varied the samples.
 ALPHA = 0.2
+#: What a slot of the lookup has instead of a piece: nothing, or only the beginning of pieces.
+EMPTY, BEGINNING = -1, -2
 PART_CHARS = 3 << 20
 #: Characters of distinct units whose lattices a task keeps, at about 60 bytes each.
 MOST_PLACES = 2 << 20
@@ -78,14 +80,31 @@ class Pieces:
         self.byte_log = ALPHA * float(np.log(weight[-1] / total))
         usable = [(i, w) for i, w in zip(plain, weight, strict=True) if len(self.text[i]) <= LONGEST]
         hashes = np.array([self.hash_of(self.text[i]) for i, _ in usable], np.uint64)
+        begun = self._beginnings([self.text[i] for i, _ in usable])
         self.slot_hash = np.zeros(1 << self.BITS, np.uint64)
-        self.slot_id = np.full(1 << self.BITS, -1, np.int32)
+        self.slot_id = np.full(1 << self.BITS, EMPTY, np.int32)
         self.slot_log = np.full(1 << self.BITS, -np.inf, np.float32)
         for h, (i, w) in zip(hashes.tolist(), usable, strict=True):
             at = h >> (64 - self.BITS)
-            while self.slot_id[at] >= 0:
+            while self.slot_id[at] != EMPTY:
                 at = (at + 1) % len(self.slot_id)
             self.slot_hash[at], self.slot_id[at], self.slot_log[at] = h, i, ALPHA * np.log(w / total)
+        for h in np.setdiff1d(begun, hashes).tolist():
+            at = h >> (64 - self.BITS)
+            while self.slot_id[at] != EMPTY:
+                at = (at + 1) % len(self.slot_id)
+            self.slot_hash[at], self.slot_id[at] = h, BEGINNING
+
+    @staticmethod
+    def _beginnings(texts: list[str]) -> np.ndarray:
+        """Hashes of all that the pieces begin with, and of the pieces."""
+        found = set()
+        for t in texts:
+            h = 0
+            for n, c in enumerate(t, 1):
+                h = (h * int(_P) + ord(c) + 1) % 2**64
+                found.add((h + n) % 2**64)
+        return mix(np.fromiter(found, np.uint64, len(found)))
 
     @staticmethod
     def hash_of(piece: str) -> int:
@@ -95,15 +114,16 @@ class Pieces:
         return int(mix(np.array([h + len(piece)], np.uint64) if h + len(piece) < 2**64 else np.array([(h + len(piece)) % 2**64], np.uint64))[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Slots of the hashes, or -1."""
+        """Slots of the hashes (of pieces, or of what pieces begin with), or -1."""
         out = np.full(len(h), -1, np.int64)
         at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             slot = at[left]
-            hit = (self.slot_hash[slot] == h[left]) & (self.slot_id[slot] >= 0)
+            taken = self.slot_id[slot] != EMPTY
+            hit = (self.slot_hash[slot] == h[left]) & taken
             out[left[hit]] = slot[hit]
-            left = left[~hit & (self.slot_id[slot] >= 0)]
+            left = left[~hit & taken]
             at[left] = (at[left] + 1) % len(self.slot_id)
         return out
 
@@ -120,14 +140,6 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class Numbers(dict):
-    """Consecutive numbers for new keys."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Lattices:
     """Lattices of distinct units: the edges at every place, with their probabilities.
 
@@ -153,10 +165,9 @@ class Lattices:
         """The units' numbers; lattices are made for those that have none."""
         if len(self.code) > MOST_PLACES:
             self.reset()
-        known = len(self.index)
         out = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        if len(self.index) > known:
-            first, made = _lattices(list(islice(self.index, known, None)), self.pieces)
+        if self.index.fresh:
+            first, made = _lattices(self.index.taken(), self.pieces)
             places, edges = len(self.code), len(self.piece)
             made["end"] += places
             made["offset"] += edges
@@ -189,16 +200,17 @@ def _lattices(units: list[str], pieces: Pieces) -> tuple[np.ndarray, dict[str, n
     running, at = np.zeros(n, np.uint64), np.arange(n, dtype=np.int32)
     for k in range(LONGEST):
         if k:
-            keep = left[at] > k
+            # longer pieces begin with what is found so far
+            keep = (slot >= 0) & (left[at] > k)
             at, running = at[keep], running[keep]
             if not len(at):
                 break
         running *= _P
         running += code[at + np.int32(k)]
         slot = pieces.find(mix(running + np.uint64(k + 1)))
-        ok = slot >= 0
-        hit, slot = at[ok], slot[ok]
-        found.append((hit, pieces.slot_id[slot], pieces.slot_log[slot], k + 1))
+        ok = (slot >= 0) & (pieces.slot_id[slot] >= 0)
+        hit, own_slot = at[ok], slot[ok]
+        found.append((hit, pieces.slot_id[own_slot], pieces.slot_log[own_slot], k + 1))
         n_edges[hit] += np.uint8(1)
         if k == 0:
             lone = at[~ok]

@@ -495,3 +495,22 @@ def test_lattices_ask_only_for_what_pieces_begin_with(monkeypatch):
     seg._lattices([text], pieces)
     want = sum(n == 1 or text[i : i + n - 1] in begun for i in range(len(text)) for n in range(1, min(seg.LONGEST, len(text) - i) + 1))
     assert sum(asked) == want < 5 * len(text)
+
+
+def test_searches_draw_noise_for_edges_only(monkeypatch):
+    """Places with few edges cost no noise for the many edges of others, and samples are taken together."""
+    pieces, drawn = seg.worker_pieces(), []
+    monkeypatch.setattr(seg, "_uniform", lambda h, uniform=seg._uniform: drawn.append(h.size) or uniform(h))
+    texts = ["\u0378" * 40 + " the", "\u0378" * 60]
+    lattice = seg.Lattices(pieces)
+    found = seg.sample_segmentations(texts, np.arange(2), pieces, 2, lattice)
+    assert lattice.n_edges.max() > 3 and [f[:2] for f in found] == [(0, 0), (0, 1), (1, 0)]
+    assert [pieces.decode(f[5].tolist()) for f in found] == [texts[0], texts[0], texts[1]]
+    assert sum(drawn) < 200
+
+
+def test_lookup_has_room_for_the_vocabulary():
+    """A small table for the processor's cache, at least half of it free, whatever the vocabulary's size."""
+    pieces = seg.worker_pieces()
+    taken = int((pieces.slot_id != seg.EMPTY).sum())
+    assert 2 * taken <= len(pieces.slot_id) <= 4 * taken

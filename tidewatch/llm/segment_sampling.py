@@ -52,6 +52,10 @@ EMPTY, BEGINNING = -1, -2
 PART_CHARS = 3 << 20
 #: Characters of distinct units whose lattices a task keeps, at about 60 bytes each.
 MOST_PLACES = 2 << 20
+#: Characters of new units whose lattices are made at a time, so that their arrays stay in the processor's cache.
+PLACES_AT_ONCE = 1 << 17
+#: Units that are sampled at a time, so that their arrays stay in the processor's cache.
+MOST_WALKS = 1 << 16
 SPACE = "▁"
 _UNIT = re.compile(r"[ ]*[\S\r]+|[ ]+|\s")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +64,6 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class Pieces:
     """The vocabulary: piece lookup by hash, in numpy, and log-probabilities."""
 
-    BITS = 20
     _flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __init__(self, path: str):
@@ -81,16 +84,19 @@ class Pieces:
         usable = [(i, w) for i, w in zip(plain, weight, strict=True) if len(self.text[i]) <= LONGEST]
         hashes = np.array([self.hash_of(self.text[i]) for i, _ in usable], np.uint64)
         begun = self._beginnings([self.text[i] for i, _ in usable])
-        self.slot_hash = np.zeros(1 << self.BITS, np.uint64)
-        self.slot_id = np.full(1 << self.BITS, EMPTY, np.int32)
-        self.slot_log = np.full(1 << self.BITS, -np.inf, np.float32)
+        only_begun = np.setdiff1d(begun, hashes)
+        # few enough slots for the processor's cache, at least half of them free
+        self.bits = (2 * (len(hashes) + len(only_begun))).bit_length()
+        self.slot_hash = np.zeros(1 << self.bits, np.uint64)
+        self.slot_id = np.full(1 << self.bits, EMPTY, np.int32)
+        self.slot_log = np.full(1 << self.bits, -np.inf, np.float32)
         for h, (i, w) in zip(hashes.tolist(), usable, strict=True):
-            at = h >> (64 - self.BITS)
+            at = h >> (64 - self.bits)
             while self.slot_id[at] != EMPTY:
                 at = (at + 1) % len(self.slot_id)
             self.slot_hash[at], self.slot_id[at], self.slot_log[at] = h, i, ALPHA * np.log(w / total)
-        for h in np.setdiff1d(begun, hashes).tolist():
-            at = h >> (64 - self.BITS)
+        for h in only_begun.tolist():
+            at = h >> (64 - self.bits)
             while self.slot_id[at] != EMPTY:
                 at = (at + 1) % len(self.slot_id)
             self.slot_hash[at], self.slot_id[at] = h, BEGINNING
@@ -114,27 +120,23 @@ class Pieces:
         return int(mix(np.array([h + len(piece)], np.uint64) if h + len(piece) < 2**64 else np.array([(h + len(piece)) % 2**64], np.uint64))[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Slots of the hashes (of pieces, or of what pieces begin with), or -1."""
-        out = np.full(len(h), -1, np.int64)
-        at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
-        left = np.arange(len(h))
+        """Slots of the hashes (of pieces, or of what pieces begin with), or free slots."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.flatnonzero((self.slot_hash[at] != h) & (self.slot_id[at] != EMPTY))
         while len(left):
-            slot = at[left]
-            taken = self.slot_id[slot] != EMPTY
-            hit = (self.slot_hash[slot] == h[left]) & taken
-            out[left[hit]] = slot[hit]
-            left = left[~hit & taken]
-            at[left] = (at[left] + 1) % len(self.slot_id)
-        return out
+            at[left] = slot = (at[left] + 1) % len(self.slot_id)
+            left = left[(self.slot_hash[slot] != h[left]) & (self.slot_id[slot] != EMPTY)]
+        return at
 
-    def decoded_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes that an array of ids stands for."""
+    def decoded_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that an array of ids stands for, and how many each has."""
         if self._flat is None:
             held = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
             size = np.fromiter(map(len, held), np.int64, len(held))
             self._flat = np.frombuffer(b"".join(held), np.uint8), np.cumsum(size) - size, size
         flat, start, size = self._flat
-        return flat[ranges(start[ids], size[ids])]
+        sizes = size[ids]
+        return flat[ranges(start[ids], sizes)], sizes
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -159,7 +161,6 @@ class Lattices:
         self.first, self.end, self.offset = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
         self.code, self.n_edges, self.piece, self.span = np.empty(0, np.uint32), np.empty(0, np.uint8), np.empty(0, np.int32), np.empty(0, np.uint8)
         self.cumulative, self.edge_log = np.empty(0, np.float32), np.empty(0, np.float32)
-        self.width = 1
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The units' numbers; lattices are made for those that have none."""
@@ -167,22 +168,21 @@ class Lattices:
             self.reset()
         out = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         if self.index.fresh:
-            first, made = _lattices(self.index.taken(), self.pieces)
+            fresh = self.index.taken()
             places, edges = len(self.code), len(self.piece)
-            made["end"] += places
-            made["offset"] += edges
-            self.first = np.concatenate([self.first, first + np.int32(places)])
-            for name, value in made.items():
-                setattr(self, name, np.concatenate([getattr(self, name), value]))
-            self.width = max(self.width, int(made["n_edges"].max()))
+            grown = {name: [getattr(self, name)] for name in ("first", *self.BY_PLACE, *self.BY_EDGE)}
+            for a, b in _runs(np.fromiter(map(len, fresh), np.int64, len(fresh)), PLACES_AT_ONCE):
+                first, made = _lattices(fresh[a:b], self.pieces)
+                made["end"] += places
+                made["offset"] += edges
+                made["first"] = first + np.int32(places)
+                places, edges = places + len(made["code"]), edges + len(made["piece"])
+                for name, value in made.items():
+                    grown[name].append(value)
+            for name in list(grown):
+                setattr(self, name, np.concatenate(grown.pop(name)))
         return out
 
-    def logs(self, places: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the edges of each place, -inf beyond them."""
-        nth = np.arange(self.width)
-        found = self.edge_log[np.minimum(self.offset[places][:, None] + nth, len(self.edge_log) - 1)]
-        return np.where(nth < self.n_edges[places][:, None], found, -np.inf)
-
 
 def _lattices(units: list[str], pieces: Pieces) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Where each unit starts, and the arrays of :class:`Lattices` for these units."""
@@ -201,16 +201,17 @@ def _lattices(units: list[str], pieces: Pieces) -> tuple[np.ndarray, dict[str, n
     for k in range(LONGEST):
         if k:
             # longer pieces begin with what is found so far
-            keep = (slot >= 0) & (left[at] > k)
+            keep = np.flatnonzero((number != EMPTY) & (left[at] > k))
             at, running = at[keep], running[keep]
             if not len(at):
                 break
         running *= _P
         running += code[at + np.int32(k)]
         slot = pieces.find(mix(running + np.uint64(k + 1)))
-        ok = (slot >= 0) & (pieces.slot_id[slot] >= 0)
-        hit, own_slot = at[ok], slot[ok]
-        found.append((hit, pieces.slot_id[own_slot], pieces.slot_log[own_slot], k + 1))
+        number = pieces.slot_id[slot]
+        ok = number >= 0
+        hit = at[ok]
+        found.append((hit, number[ok], pieces.slot_log[slot[ok]], k + 1))
         n_edges[hit] += np.uint8(1)
         if k == 0:
             lone = at[~ok]
@@ -233,31 +234,40 @@ def _lattices(units: list[str], pieces: Pieces) -> tuple[np.ndarray, dict[str, n
     target[~inner] = n  # whose sum stays 0
     # sums over suffix paths, from the ends of all units together
     total = np.zeros(n + 1)
-    by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable").astype(np.int32)
+    by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
     cut = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-    for d in range(1, len(cut)):
-        p = by_left[cut[d - 1] : cut[d]]
-        if not len(p):
+    size_by_left = n_edges[by_left].astype(np.int64)
+    edge = ranges(offset[by_left].astype(np.int64), size_by_left)
+    log_by_left, target_by_left = log[edge], target[edge]
+    start = np.concatenate([[0], np.cumsum(size_by_left)])
+    del edge
+    for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+        if a == b:
             continue
-        k = n_edges[p].astype(np.int64)
-        e = ranges(offset[p].astype(np.int64), k)
-        value = log[e] + total[target[e]]
-        starts = np.cumsum(k) - k
+        x, y = start[a], start[b]
+        starts = start[a:b] - x
+        value = total[target_by_left[x:y]]
+        value += log_by_left[x:y]
         top = np.maximum.reduceat(value, starts)
-        value -= np.repeat(top, k)
-        total[p] = top + np.log(np.add.reduceat(np.exp(value, out=value), starts))
+        value -= np.repeat(top, size_by_left[a:b])
+        total[by_left[a:b]] = top + np.log(np.add.reduceat(np.exp(value, out=value), starts))
     edge_log = total[target]
     edge_log += log
     edge_log -= total[place]
+    del log_by_left, target_by_left, target
     share = np.exp(edge_log)
     if n:
         # the likeliest edge first
-        best = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, offset), n_edges))
+        best = np.flatnonzero(share == np.maximum.reduceat(share, offset)[place])
         best = best[np.r_[True, place[best[1:]] != place[best[:-1]]]]
+        moved = np.flatnonzero(best != offset)
+        top, best = offset[moved], best[moved]
         for x in (piece, span, share, edge_log):
-            x[offset], x[best] = x[best], x[offset]
+            x[top], x[best] = x[best], x[top]
     running_sum = np.cumsum(share)
-    cumulative = (running_sum - np.repeat(running_sum[offset] - share[offset], n_edges)).astype(np.float32)
+    before = running_sum[offset] - share[offset]
+    running_sum -= before[place]
+    cumulative = running_sum.astype(np.float32)
     cumulative[offset + n_edges - 1] = 2.0  # rounding must not choose an edge that isn't there
     return first, {"end": end, "code": own, "offset": offset, "n_edges": n_edges, "piece": piece, "span": span, "cumulative": cumulative, "edge_log": edge_log.astype(np.float32)}
 
@@ -268,162 +278,202 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 
 def _search(lattice: Lattices, unit: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray, k: int):
-    """The k best prefixes of each document: bound, log-probability, unit reached, place in it, edges so far."""
+    """The k best prefixes of each document: bound, log-probability, unit reached, place in it, number of the last step; and the steps' edges and the numbers of the steps before them (-1: none)."""
     n = len(count)
     bound = np.full((n, k), -np.inf)
     prob = np.zeros((n, k))
     at_unit = np.zeros((n, k), np.int64)
     place = np.full((n, k), -1, np.int64)
-    depth = np.zeros((n, k), np.int64)
-    path = np.zeros((n, k, 64), np.uint8)
+    last = np.full((n, k), -1, np.int64)
     bound[:, 0] = -np.log(-np.log(_uniform(key)))
     full = count > 0
     place[full, 0] = lattice.first[unit[begin[full]]]
     done = np.zeros((n, k), bool)
     done[:, 1:] = True
     done[~full] = True
-    step = 0
-    while True:
-        rows = np.flatnonzero(~done.all(1))
-        if not len(rows):
-            return bound, prob, at_unit, place, depth, path
-        node = np.where(done[rows], -np.inf, bound[rows]).argmax(1)
-        phi, g = prob[rows, node], bound[rows, node]
-        p, u = place[rows, node], at_unit[rows, node]
-        child = phi[:, None] + lattice.logs(p)
-        h = key[rows, None] + (np.uint64(step) * np.uint64(64) + np.arange(1, lattice.width + 1, dtype=np.uint64)) * _P
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            noisy = child - np.log(-np.log(_uniform(h)))
-            top = noisy.max(1, keepdims=True)
+    trail: list[tuple[np.ndarray, np.ndarray]] = []
+    n_trail = step = 0
+    rows = np.flatnonzero(full)
+    while len(rows):
+        nth_row = np.arange(len(rows))
+        old = bound[rows]
+        node = np.where(done[rows], -np.inf, old).argmax(1)
+        at = rows * k + node
+        g, p, u = old[nth_row, node], place.ravel()[at], at_unit.ravel()[at]
+        # the edges of all these places, one after the other
+        size = lattice.n_edges[p].astype(np.int64)
+        start = np.cumsum(size) - size
+        owner = np.repeat(nth_row, size)
+        nth = np.arange(len(owner)) - start[owner]
+        edge = lattice.offset[p][owner] + nth
+        child = prob.ravel()[at][owner] + lattice.edge_log[edge]
+        h = key[rows][owner] + (np.uint64(step) * np.uint64(64) + np.uint64(1) + nth.view(np.uint64)) * _P
+        noisy = child - np.log(-np.log(_uniform(h)))
+        with np.errstate(divide="ignore", over="ignore"):
             # the children's bounds, given that the best of them is the parent's
-            v = g[:, None] - noisy + np.log1p(-np.exp(noisy - top))
-            fresh = g[:, None] - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-        fresh[np.isneginf(child)] = -np.inf
-        fresh[np.arange(len(rows)), noisy.argmax(1)] = g
-        old = bound[rows].copy()
-        old[np.arange(len(rows)), node] = -np.inf
-        every = np.concatenate([old, fresh], 1)
-        best = np.argsort(-every, axis=1, kind="stable")[:, :k]
-        r = np.arange(len(rows))[:, None]
-        new_bound = every[r, best]
+            v = g[owner] - noisy + np.log1p(-np.exp(noisy - np.maximum.reduceat(noisy, start)[owner]))
+            fresh = g[owner] - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
+        old[nth_row, node] = -np.inf
+        every = np.full((len(rows), k + int(size.max())), np.inf)
+        every[:, :k] = -old
+        every[owner, nth + k] = -fresh
+        best = np.argsort(every, axis=1, kind="stable")[:, :k]
+        new_bound = -every[nth_row[:, None], best]
         is_new = best >= k
-        edge = np.where(is_new, best - k, 0)
-        source = np.where(is_new, node[:, None], best)
-        if step + 1 >= path.shape[2]:
-            path = np.concatenate([path, np.zeros_like(path)], 2)
-        t = min(path.shape[2], step + 2)
-        moved = path[rows[:, None], source, :t]
-        moved_depth = depth[rows[:, None], source]
-        moved[np.nonzero(is_new)[0], np.nonzero(is_new)[1], moved_depth[is_new]] = edge[is_new] + 1
-        path[rows, :, :t] = moved
-        depth[rows] = moved_depth + is_new
-        new_prob = np.where(is_new, child[r, edge], prob[rows[:, None], source])
-        to = np.where(is_new, p[:, None] + lattice.span[np.minimum(lattice.offset[p][:, None] + edge, len(lattice.span) - 1)], place[rows[:, None], source])
-        to_unit = np.where(is_new, u[:, None], at_unit[rows[:, None], source])
-        ended = is_new & (to == lattice.end[p][:, None])
-        to_unit = to_unit + ended
-        over = to_unit >= count[rows][:, None]
-        nxt = np.minimum(begin[rows][:, None] + to_unit, len(unit) - 1)
-        to = np.where(ended & ~over, lattice.first[unit[nxt]], to)
-        new_done = np.where(is_new, over | (new_prob < -NEGLIGIBLE), done[rows[:, None], source]) | np.isneginf(new_bound)
-        bound[rows], prob[rows], at_unit[rows], place[rows], done[rows] = new_bound, new_prob, to_unit, to, new_done
+        source = rows[:, None] * k + np.where(is_new, node[:, None], best)
+        new_prob, to, to_unit, new_last, new_done = (x.ravel()[source] for x in (prob, place, at_unit, last, done))
+        r, column = np.nonzero(is_new)
+        which = start[r] + best[r, column] - k
+        chosen, reached, reached_unit = edge[which], p[r], u[r]
+        ends = lattice.end[reached]
+        reached = reached + lattice.span[chosen]
+        ended = reached == ends
+        reached_unit = reached_unit + ended
+        over = reached_unit >= count[rows[r]]
+        onward = np.flatnonzero(ended & ~over)
+        reached[onward] = lattice.first[unit[begin[rows[r[onward]]] + reached_unit[onward]]]
+        trail.append((chosen, new_last[r, column]))
+        new_prob[r, column], to[r, column], to_unit[r, column] = child[which], reached, reached_unit
+        new_last[r, column] = n_trail + np.arange(len(r))
+        n_trail += len(r)
+        new_done[r, column] = over | (child[which] < -NEGLIGIBLE)
+        new_done |= np.isneginf(new_bound)
+        bound[rows], prob[rows], at_unit[rows], place[rows], last[rows], done[rows] = new_bound, new_prob, to_unit, to, new_last, new_done
+        rows = rows[~new_done.all(1)]
         step += 1
+    edges, before = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*trail, strict=True) if trail else ((), ())))
+    return bound, prob, at_unit, place, last, edges, before
+
+
+def _walks(lattice: Lattices, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of plain samples from the places to the ends of their units, and how many each has; noise depends on the seeds."""
+    taken: list[tuple[np.ndarray, np.ndarray]] = []
+    n_steps = np.zeros(len(place), np.int64)
+    active, at, end = np.arange(len(place)), place, lattice.end[place]
+    while len(active):
+        r = _uniform(seed + np.uint64(len(taken))).astype(np.float32)
+        edge = lattice.offset[at]
+        more = np.flatnonzero(lattice.cumulative[edge] <= r)
+        while len(more):
+            edge[more] += 1
+            more = more[lattice.cumulative[edge[more]] <= r[more]]
+        taken.append((active, edge))
+        n_steps[active] = len(taken)
+        at = at + lattice.span[edge]
+        left = np.flatnonzero(at < end)
+        active, at, end, seed = active[left], at[left], end[left], seed[left]
+    offset = np.cumsum(n_steps) - n_steps
+    edges = np.empty(int(n_steps.sum()), np.int32)
+    for t, (a, e) in enumerate(taken):
+        edges[offset[a] + t] = e
+    return edges, n_steps
 
 
 def sample_segmentations(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int = SAMPLES, lattice: Lattices | None = None) -> list[tuple[int, int, float, float, float, np.ndarray]]:
     """(text, rank, log_prob, value, log_inclusion, ids) of up to k segmentations a text."""
     split = [_UNIT.findall(t) for t in texts]
-    units = list(chain.from_iterable(split))
     lattice = lattice or Lattices(pieces)
-    unit = lattice.numbers(units)
     count = np.array([len(x) for x in split], np.int64)
+    unit = lattice.numbers(list(chain.from_iterable(split)))
+    del split
     begin = np.cumsum(count) - count
     key = mix(keys.astype(np.int64).view(np.uint64) + _P)
-    bound, prob, at_unit, place, depth, path = _search(lattice, unit, begin, count, key, k + 1)
+    bound, prob, at_unit, place, last, trail, before = _search(lattice, unit, begin, count, key, k + 1)
     order = np.argsort(-bound, axis=1, kind="stable")
     rows, ranks = np.nonzero(~np.isneginf(np.take_along_axis(bound, order, 1))[:, :k])
     node = order[rows, ranks]
-    # the rest of each prefix is plain sampling, unit by unit
+    value, log_prob = bound[rows, node], prob[rows, node]
+    # the prefix's edges, from the last to the first
+    heads: list[tuple[np.ndarray, np.ndarray]] = []
+    n_head = np.zeros(len(rows), np.int64)
+    at = last[rows, node]
+    active = np.flatnonzero(at >= 0)
+    while len(active):
+        heads.append((active, trail[at[active]]))
+        n_head[active] = len(heads)
+        at[active] = before[at[active]]
+        active = active[at[active] >= 0]
+    # the rest of each prefix is plain sampling, unit by unit, for some prefixes at a time
     u = at_unit[rows, node]
     rest = np.maximum(count[rows] - u, 0)
-    owner = np.repeat(np.arange(len(rows)), rest)
-    nth = ranges(u, rest)
-    p = lattice.first[unit[begin[rows][owner] + nth]].astype(np.int64) if len(owner) else np.empty(0, np.int64)
-    inside = np.cumsum(rest) - rest
-    p[inside[rest > 0]] = place[rows, node][rest > 0]
-    seed = mix(key[rows] + (ranks.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))[owner] + nth.astype(np.uint64) * np.uint64(1 << 20)
-    taken: list[tuple[np.ndarray, np.ndarray]] = []
-    active = np.arange(len(owner))
-    step = 0
-    while len(active):
-        r = _uniform(seed[active] + np.uint64(step)).astype(np.float32)
-        at = p[active]
-        edge = lattice.offset[at]
-        more = np.flatnonzero(lattice.cumulative[edge] <= r)
-        while len(more):
-            edge[more] += 1
-            more = more[lattice.cumulative[edge[more]] <= r[more]]
-        taken.append((active, edge))
-        to = at + lattice.span[edge]
-        p[active] = to
-        active = active[to < lattice.end[at]]
-        step += 1
-    n_steps = np.zeros(len(owner), np.int64)
-    for t, (a, _) in enumerate(taken, 1):
-        n_steps[a] = t
-    offset = np.cumsum(n_steps) - n_steps
-    edges = np.empty(int(n_steps.sum()), np.int64)
-    for t, (a, e) in enumerate(taken):
-        edges[offset[a] + t] = e
-    ids = lattice.piece[edges]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=n_steps, minlength=len(rows)).astype(np.int64))])
+    seed = mix(key[rows] + (ranks.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    walks = [np.empty(0, np.int32)]
+    n_walk = np.zeros(len(rows), np.int64)
+    for a, b in _runs(rest, MOST_WALKS):
+        owner = np.repeat(np.arange(a, b), rest[a:b])
+        nth = ranges(u[a:b], rest[a:b])
+        p = lattice.first[unit[begin[rows[owner]] + nth]]
+        some = np.flatnonzero(rest[a:b])
+        p[(np.cumsum(rest[a:b]) - rest[a:b])[some]] = place[rows[a:b], node[a:b]][some]
+        edges, n_steps = _walks(lattice, p, seed[owner] + nth.astype(np.uint64) * np.uint64(1 << 20))
+        walks.append(edges)
+        n_walk[a:b] = np.bincount(owner - a, weights=n_steps, minlength=b - a)
+    walked = np.concatenate(walks)
+    del walks
+    bounds = np.concatenate([[0], np.cumsum(n_walk)])
     added = np.zeros(len(rows))
-    some = np.flatnonzero(np.diff(bounds))
+    some = np.flatnonzero(n_walk)
     if len(some):
-        added[some] = np.add.reduceat(lattice.edge_log[edges].astype(np.float64), bounds[some])
-    first_of, offset_of, span_of, end_of = (memoryview(x) for x in (lattice.first, lattice.offset, lattice.span, lattice.end))
-    out: list[tuple] = []
-    exact = bound[np.arange(len(bound)), order[:, min(k, order.shape[1] - 1)]]
+        added[some] = np.add.reduceat(lattice.edge_log[walked].astype(np.float64), bounds[some])
+    log_prob += added
+    edges = np.empty(len(walked) + int(n_head.sum()), np.int32)
+    is_head = np.zeros(len(edges), bool)
+    first = bounds[:-1] + np.cumsum(n_head) - n_head
+    for t, (active, found) in enumerate(heads, 1):
+        at = first[active] + n_head[active] - t
+        edges[at] = found
+        is_head[at] = True
+    edges[~is_head] = walked
+    every = np.append(first, len(edges))
+    ids, ends = _ids(lattice, pieces, edges, every)
+    threshold = bound[np.arange(len(bound)), order[:, min(k, order.shape[1] - 1)]]
     # values of the second best segmentations below the prefixes
-    second = _next_value(prob[rows, node], -np.expm1(np.minimum(added, 0.0)), bound[rows, node], _uniform(key[rows] + (ranks.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)))
-    again = {int(i): [] for i in rows[(rest > 0) & (second > exact[rows])]}
-    for s, (i, rank) in enumerate(zip(rows.tolist(), ranks.tolist(), strict=True)):
-        # the prefix's edges, walked again
-        head, q, v = [], -1, 0
-        for edge in path[i, node[s], : depth[i, node[s]]].tolist():
-            if q < 0:
-                q = first_of[unit[begin[i] + v]]
-            e = offset_of[q] + edge - 1
-            head.append(e)
-            q += span_of[e]
-            if q == end_of[q - 1]:
-                q, v = -1, v + 1
-        taken_edges = np.concatenate([np.array(head, np.int64), edges[bounds[s] : bounds[s + 1]]])
-        mine = _ids(lattice, pieces, taken_edges)
-        log_prob = float(prob[i, node[s]] + added[s])
-        if i in again:
-            more = None if not rest[s] else Below(lattice, unit[begin[i] + u[s] : begin[i] + count[i]], int(place[i, node[s]]), float(prob[i, node[s]]), head, [edges[bounds[s] : bounds[s + 1]].tolist()], float(second[s]), int(key[i]) + rank)
-            again[i].append((float(bound[i, node[s]]), log_prob, mine, more))
-        else:
-            out.append((i, rank, log_prob, float(bound[i, node[s]]), _inclusion(log_prob, exact[i]), mine))
+    second = _next_value(prob[rows, node], -np.expm1(np.minimum(added, 0.0)), value, _uniform(key[rows] + (ranks.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)))
+    parts = [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    out = list(zip(rows.tolist(), ranks.tolist(), log_prob.tolist(), value.tolist(), _inclusion(log_prob, threshold[rows]).tolist(), parts, strict=True))
+    again = {int(i): [] for i in rows[(rest > 0) & (second > threshold[rows])]}
+    if not again:
+        return out
+    for s in np.flatnonzero(np.isin(rows, list(again))).tolist():
+        i, rank, total, top, _, mine = out[s]
+        head, walk = edges[first[s] : first[s] + n_head[s]].tolist(), edges[first[s] + n_head[s] : every[s + 1]].tolist()
+        more = None if not rest[s] else Below(lattice, unit[begin[i] + u[s] : begin[i] + count[i]], int(place[i, node[s]]), float(prob[i, node[s]]), head, [walk], float(second[s]), int(key[i]) + rank)
+        again[i].append((top, total, mine, more))
+    out = [x for x in out if x[0] not in again]
     for i, found in again.items():
-        found, threshold = _with_others(found, float(exact[i]), k, pieces)
-        out += [(i, rank, log_prob, value, _inclusion(log_prob, threshold), mine) for rank, (value, log_prob, mine) in enumerate(found)]
-    return sorted(out, key=itemgetter(0, 1)) if again else out
+        found, least = _with_others(found, float(threshold[i]), k, pieces)
+        out += [(i, rank, log, top, float(_inclusion(np.float64(log), np.float64(least))), mine) for rank, (top, log, mine) in enumerate(found)]
+    return sorted(out, key=itemgetter(0, 1))
 
 
-def _inclusion(log_prob: float, threshold: float) -> float:
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` by their sizes' sum, one size at least in each."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield first, last
+        first = last
+
+
+def _inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     x = log_prob - threshold
-    return 0.0 if np.isneginf(threshold) else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 30.0)))))
+    with np.errstate(divide="ignore"):
+        return np.where(np.isneginf(threshold), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -40.0, 30.0))))))
 
 
-def _ids(lattice: Lattices, pieces: Pieces, edges: np.ndarray) -> np.ndarray:
-    """Piece ids along a path of edges."""
+def _ids(lattice: Lattices, pieces: Pieces, edges: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids along paths of edges, which lie between ``bounds``; and the bounds of their ids."""
     ids = lattice.piece[edges]
-    if (ids == -2).any():
-        chars = lattice.code[np.searchsorted(lattice.offset, edges, side="right") - 1]
-        ids = np.array([x for j, c in zip(ids.tolist(), chars.tolist(), strict=True) for x in ([pieces.byte_id[b] for b in chr(c).encode()] if j == -2 else [j])], np.int32)
-    return ids
+    others = np.flatnonzero(ids == -2)
+    if not len(others):
+        return ids, bounds
+    chars = lattice.code[np.searchsorted(lattice.offset, edges[others], side="right") - 1]
+    size = np.ones(len(ids), np.int64)
+    size[others] = 2 + (chars >= 0x800).astype(np.int64) + (chars >= 0x10000)
+    ids = np.repeat(ids, size)
+    ids[ids == -2] = pieces.byte_ids[np.frombuffer("".join(map(chr, chars.tolist())).encode(), np.uint8)]
+    return ids, np.concatenate([[0], np.cumsum(size)])[bounds]
 
 
 def _next_value(log_prob: np.ndarray, left: np.ndarray, top: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -489,7 +539,7 @@ def _with_others(found: list[tuple], threshold: float, k: int, pieces: Pieces) -
             threshold = best.value  # only its value counts
             break
         value, log_prob, edges = best.draw()
-        done.append((value, log_prob, _ids(best.lattice, pieces, np.array(edges, np.int64))))
+        done.append((value, log_prob, _ids(best.lattice, pieces, np.array(edges, np.int64), np.array([0, len(edges)]))[0]))
     done.sort(key=itemgetter(0), reverse=True)
     return done[:k], max([threshold, *(f[0] for f in done[k:])])
 
@@ -518,6 +568,17 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def _decodes(ids: list[np.ndarray], texts: list[str], pieces: Pieces) -> list[bool]:
+    """Whether each array of ids gives its text."""
+    out = []
+    for a, b in _runs(np.fromiter(map(len, ids), np.int64, len(ids)), MOST_WALKS):
+        found, sizes = pieces.decoded_bytes(np.concatenate(ids[a:b]))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, ids[a:b])])].tolist()
+        whole = found.tobytes()
+        out += [whole[x:y] == t.encode() for x, y, t in zip(ends, ends[1:], texts[a:b], strict=False)]
+    return out
+
+
 def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, rank (from 1), log_prob, perturbed, log_inclusion, n_pieces, ids_crc32, decodes (and ids)."""
 
@@ -530,7 +591,6 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = batch.column(1).to_pylist()
             for a, b in _parts(texts):
                 found = sample_segmentations(texts[a:b], keys[a:b], pieces, k, lattice)
-                own_bytes = [np.frombuffer(t.encode(), np.uint8) for t in texts[a:b]]
                 columns = {
                     "doc_id": all_ids.take(pa.array([a + f[0] for f in found], pa.int64())),
                     "rank": pa.array([f[1] + 1 for f in found], pa.int32()),
@@ -538,8 +598,8 @@ def segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     "perturbed": pa.array([f[3] for f in found], pa.float64()),
                     "log_inclusion": pa.array([f[4] for f in found], pa.float64()),
                     "n_pieces": pa.array([len(f[5]) for f in found], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(f[5].astype("<u4").tobytes()) for f in found], pa.int64()),
-                    "decodes": pa.array([np.array_equal(pieces.decoded_bytes(f[5]), own_bytes[f[0]]) for f in found], pa.bool_()),
+                    "ids_crc32": pa.array([zlib.crc32(f[5].astype("<u4")) for f in found], pa.int64()),
+                    "decodes": pa.array(_decodes([f[5] for f in found], [texts[a + f[0]] for f in found], pieces), pa.bool_()),
                 }
                 if with_ids:
                     ends = np.cumsum([0, *(len(f[5]) for f in found)])

@@ -1,14 +1,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import near_dedup
+from tidewatch.llm import near_dedup, suffix_dedup
 from tidewatch.llm.common import text_bytes
 from tidewatch.llm.components import connected
 from tidewatch.llm.exact_dedup import exact_dedup, one_of_each
@@ -79,6 +82,50 @@ def test_repeated_bytes(docs, texts, few):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
 
 
+def _shipped(texts: list[bytes], few: int, chunks: int = 4, buckets: int = 4, shards: int = 8) -> pa.Table:
+    """What the chunks of documents send to the shards, in this process."""
+    docs = [pa.table({"chunk": pa.array([c] * len(texts[c::chunks]), pa.int32()), "doc_id": list(range(c, len(texts), chunks)), "text": texts[c::chunks]}) for c in range(chunks)]
+
+    def sifted(sent: list[pa.Table]) -> list[pa.Table]:
+        sent = pa.concat_tables(sent)
+        answers = pa.concat_tables(suffix_dedup._sift(200, few)(sent.filter(pc.equal(sent.column("bucket"), b))) for b in range(buckets))
+        return [answers.filter(pc.and_(pc.equal(answers.column("chunk"), c), pc.not_equal(answers.column("state"), suffix_dedup.REPEATED))) for c in range(chunks)]
+
+    first = sifted([suffix_dedup._send(200, buckets)(d) for d in docs])
+    final = sifted([suffix_dedup._divide(200, buckets)(d, a) for d, a in zip(docs, first, strict=True)])
+    return pa.concat_tables(suffix_dedup._ship(200, shards)(d, a) for d, a in zip(docs, final, strict=True))
+
+
+@pytest.mark.parametrize("size", [60, 160])
+def test_common_passages_are_sent_sparingly_and_evenly(size):
+    """A passage of many documents whose neighbourhoods all differ: once all its strings were sent, those that begin alike to one shard."""
+    rng = np.random.default_rng(size)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    passage = rng.choice(letters, size).tobytes()
+    texts = [b"".join((rng.choice(letters, 300).tobytes(), passage, rng.choice(letters, 300).tobytes())) for _ in range(600)]
+    sent = _shipped(texts, few=20)
+    if size < 128:  # keys of longer substrings tell the neighbourhoods apart
+        assert (pc.sum(pc.binary_length(sent.column("data"))).as_py() or 0) < 0.1 * sum(map(len, texts))
+    else:
+        load = np.bincount(sent.column("shard").to_numpy(), weights=pc.binary_length(sent.column("data")).to_numpy(), minlength=8)
+        assert load.min() > 0 and load.max() < 1.5 * load.mean()
+
+
+def test_shards_are_sorted_a_few_keys_at_once():
+    """The memory of a shard doesn't grow with it."""
+    rng = np.random.default_rng(3)
+    own = [rng.integers(0, 256, 1200).astype(np.uint8).tobytes() for _ in range(3400)]
+    key = np.arange(len(own)) // 50
+    own[7] = own[3]
+    shard = pa.table({"shard": pa.array([0] * len(own), pa.int32()), "chunk": pa.array([1] * len(own), pa.int32()), "wanted": [True] * len(own), "key": key, "start": np.arange(len(own)) * 2000, "size": pa.array([1001] * len(own), pa.int32()), "data": own})
+    tracemalloc.start()
+    found = suffix_dedup._resolve(200)(shard).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["chunk"], r["n"]) for r in found] == [(1, 2)]
+    assert most < 300e6, most
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for _ in range(300):
